@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import units
+from ledgerloom.operators import nested, units
 from ledgerloom.session import table
 
 
@@ -22,5 +22,46 @@ def p3_solutions(spark: SparkSession, d: str) -> DataFrame:
     return _quantities(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_solutions)}
-ORACLE: dict[str, str] = {}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.child_rows(table(spark, d, "finqa_raw_sample")).select("rec_no", "child_kind", "pos", "sub_pos")
+
+
+def p6_children(spark: SparkSession, d: str) -> DataFrame:
+    return nested.child_rows(table(spark, d, "finqa_raw_sample"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_solutions, p6_found, p6_children)}
+
+P6_FOUND = r"""
+WITH r AS (
+  SELECT rec_no, "table" AS t, qa.gold_inds AS g,
+    flatten(list_transform(coalesce(pre_text, []), lambda e: CASE WHEN regexp_matches(e, '^\s*\[') AND json_valid(e)
+      THEN from_json(e, '["VARCHAR"]') ELSE [e] END)) AS pre,
+    flatten(list_transform(coalesce(post_text, []), lambda e: CASE WHEN regexp_matches(e, '^\s*\[') AND json_valid(e)
+      THEN from_json(e, '["VARCHAR"]') ELSE [e] END)) AS post
+  FROM finqa_raw_sample
+), sentences AS (
+  SELECT rec_no, 'pre_text' AS kind, unnest(range(len(pre))) AS pos, unnest(pre) AS v, 0 AS shift FROM r
+  UNION ALL SELECT rec_no, 'post_text', unnest(range(len(post))), unnest(post), len(pre) FROM r
+), filled AS (
+  SELECT * FROM sentences WHERE v IS NOT NULL AND NOT regexp_full_match(v, '[\s\pZ]*')
+), table_rows AS (SELECT rec_no, unnest(range(len(t))) AS pos, unnest(t) AS cells FROM r),
+cells AS (SELECT rec_no, pos, unnest(range(len(cells))) AS sub_pos, unnest(cells) AS v FROM table_rows),
+full_cells AS (SELECT * FROM cells WHERE v IS NOT NULL AND NOT regexp_full_match(v, '[\s\pZ]*')),
+refs AS (SELECT rec_no, unnest(g) AS e FROM r),
+keys AS (
+  SELECT rec_no, unnest(list_concat(regexp_extract_all(e, '(?i)^\s*((?:table|text)[_ -]?[0-9]+)\s*$', 1),
+    regexp_extract_all(e, '(?i)[{,]\s*["'']\s*((?:table|text)[_ -]?[0-9]+)\s*["'']\s*:', 1))) AS k FROM refs WHERE e IS NOT NULL
+), links AS (
+  SELECT DISTINCT rec_no, lower(regexp_extract(k, '(?i)(table|text)', 1)) AS kind, regexp_extract(k, '([0-9]+)', 1)::BIGINT AS n FROM keys
+)
+SELECT rec_no, kind AS child_kind, pos::BIGINT AS pos, -1::BIGINT AS sub_pos FROM filled
+UNION ALL SELECT DISTINCT rec_no, 'table_row', pos::BIGINT, -1::BIGINT FROM full_cells
+UNION ALL SELECT rec_no, 'table_cell', pos::BIGINT, sub_pos::BIGINT FROM full_cells
+UNION ALL SELECT rec_no, 'gold_table', n, -1::BIGINT FROM links WHERE kind = 'table'
+  AND EXISTS (SELECT 1 FROM full_cells c WHERE c.rec_no = links.rec_no AND c.pos = n)
+UNION ALL SELECT rec_no, 'gold_text', n, -1::BIGINT FROM links WHERE kind = 'text'
+  AND EXISTS (SELECT 1 FROM filled f WHERE f.rec_no = links.rec_no AND f.pos + f.shift = n)
+"""
+
+ORACLE: dict[str, str] = {"p6_found": P6_FOUND}
