@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import defects, overlap, quota, splits
+from ledgerloom.llm import defects, mixing, overlap, quota, splits
 from ledgerloom.session import table
 
 RECORDS = "finqa_normalized_sample"
@@ -59,4 +59,24 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(overlap.cross_split_pairs(table(spark, d, RECORDS))[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_sample, p2_report, p4_found, p4_report, p5_found, p5_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return report.where("short").select("mix_id", "source")
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+_ALL = (
+    *(p1_found, p1_splits, p1_report),
+    *(p2_found, p2_sample, p2_report),
+    *(p4_found, p4_report),
+    *(p5_found, p5_report),
+    *(p8_found, p8_selection, p8_report),
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -42,4 +42,18 @@ SELECT plan_id::BIGINT AS plan_id, subtype, answer_type FROM wants LEFT JOIN row
 WHERE coalesce(n, 0) < wanted
 """
 
-ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND}
+# Sizes are counted in pieces of the tokenizer's splitting pattern; no case lies near the line.
+P8_FOUND = r"""
+WITH sized AS (
+  SELECT nullif(regexp_replace(lower(source), '[^\pL%]+', '', 'g'), '') AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[\s]?[\pL]+|[\s]?[\pN]{1,3}|[\s]?[^\s\pL\pN]')) AS n
+  FROM documents
+), by_source AS (SELECT k, sum(n) AS n FROM sized GROUP BY k), total AS (SELECT sum(n) AS n FROM sized), wants AS (
+  SELECT mix_id, nullif(regexp_replace(lower(source), '[^\pL%]+', '', 'g'), '') AS k, min(source) AS source,
+    max(max_repeats) AS reps, sum(target_share) * max(total_frac) * (SELECT n FROM total) AS wanted
+  FROM mix_targets GROUP BY 1, 2
+)
+SELECT mix_id::BIGINT AS mix_id, source FROM wants LEFT JOIN by_source USING (k) WHERE coalesce(n, 0) * reps < wanted
+"""
+
+ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p8_found": P8_FOUND}
