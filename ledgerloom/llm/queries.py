@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import defects, mixing, overlap, quota, splits
+from ledgerloom.llm import defects, leaks, mixing, overlap, quota, splits
 from ledgerloom.session import table
 
 RECORDS = "finqa_normalized_sample"
@@ -59,6 +59,30 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(overlap.cross_split_pairs(table(spark, d, RECORDS))[1])
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p7_places(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per held-out item, with its suite."""
+    items = table(spark, d, "heldout_items").select("item_id", "suite")
+    return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents")).join(items, "item_id")
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the documents that remain after removal."""
+    docs = table(spark, d, "documents")
+    return leaks.clean_documents(docs.select("doc_id"), _leaks(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
     return report.where("short").select("mix_id", "source")
@@ -77,6 +101,7 @@ _ALL = (
     *(p2_found, p2_sample, p2_report),
     *(p4_found, p4_report),
     *(p5_found, p5_report),
+    *(p7_found, p7_places, p7_items, p7_clean),
     *(p8_found, p8_selection, p8_report),
 )
 QUERIES = {f.__name__: f for f in _ALL}
