@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import defects, leaks, mixing, overlap, quota, splits
+from ledgerloom.llm import defects, leaks, mixing, overlap, quota, splits, subjects
 from ledgerloom.session import table
 
 RECORDS = "finqa_normalized_sample"
@@ -96,6 +96,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return subjects.subject_areas(docs, subjects.fit(docs, table(spark, d, "subject_labels")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _areas(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_areas(spark, d), table(spark, d, "documents"))
+
+
 _ALL = (
     *(p1_found, p1_splits, p1_report),
     *(p2_found, p2_sample, p2_report),
@@ -103,5 +116,6 @@ _ALL = (
     *(p5_found, p5_report),
     *(p7_found, p7_places, p7_items, p7_clean),
     *(p8_found, p8_selection, p8_report),
+    *(p9_found, p9_composition),
 )
 QUERIES = {f.__name__: f for f in _ALL}
