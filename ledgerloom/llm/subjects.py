@@ -33,7 +33,7 @@ MAX_LABELLED = 20_000
 #: Partitions whose gradients are summed, hash buckets of features, dimensions, steps, step size.
 PARTITIONS, BUCKETS, DIM, STEPS, RATE = 6, 1 << 15, 16, 60, 0.12
 #: Decay of weights per step and rate, and the evidence, in sentences, under which features hardly move.
-DECAY, EVIDENCE = 0.02, 3.5
+DECAY, EVIDENCE = 0.02, 2.0
 #: Sentences that must be about a subject, and the probability from which one is.
 SENTENCES, LINE = 2, 0.5
 #: Labels that stand for no subject.
