@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import core_queries
+from ledgerloom.plans import core_queries, reference_queries, reference_sql
 
-_MODULES = (core_queries,)
+_MODULES = (core_queries, reference_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
+    return core_queries.ORACLE | reference_sql.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
