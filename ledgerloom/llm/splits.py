@@ -211,8 +211,9 @@ def balanced_splits(
     """(component, split) for ``weights`` (component STRING, category STRING, rows BIGINT).
 
     The last level has at most ``group_items`` items in one task; each level divides
-    their number by ``group_items / k``.
+    their number by ``group_items / k``, so ``group_items`` is at least twice ``k``.
     """
+    group_items = max(group_items, 2 * k)
     if abs(sum(ratios.values()) - 1) > 1e-6:
         raise ValueError("ratios must add up to 1")
     weights = cut(weights)
