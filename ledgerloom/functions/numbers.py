@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import contains_abstention, normalize_answer, strip, text
+from ledgerloom.functions.text import contains_abstention, let, normalize_answer, strip, text
 
 # Fixed value: the number grammar (currency, sign, figure, scale, percent), with no boundary after it.
 NUMBER = (
@@ -75,7 +75,7 @@ def numbers_match(left: Column, right: Column, factors: tuple[str, ...] = ("1",)
     """Any reading of one number is close to any reading of another, times any of the factors."""
     pair = lambda x, y: F.reduce(F.array(*[close(x, y, f) for f in factors]), F.lit(False), lambda a, b: a | b)
     test = (lambda x, y: close(x, y)) if factors == ("1",) else pair
-    return F.exists(variants(left), lambda x: F.exists(variants(right), lambda y: test(x, y)))
+    return let(variants(right), lambda ys: F.exists(variants(left), lambda x: F.exists(ys, lambda y: test(x, y))))
 
 
 def exact_match(prediction: Column, gold: Column, said: Column | None = None, want: Column | None = None) -> Column:
@@ -85,7 +85,7 @@ def exact_match(prediction: Column, gold: Column, said: Column | None = None, wa
     """
     said = extract_numbers(prediction) if said is None else said
     want = extract_numbers(gold) if want is None else want
-    numeric = F.exists(said, lambda p: F.exists(want, lambda g: numbers_match(p, g)))
+    numeric = let(want, lambda w: F.exists(said, lambda p: F.exists(w, lambda g: numbers_match(p, g))))
     same = normalize_answer(prediction) == normalize_answer(gold)
     hit = (
         F.when(F.size(want) > 0, numeric)
@@ -102,7 +102,7 @@ def exact_match(prediction: Column, gold: Column, said: Column | None = None, wa
 
 def unsupported_numbers(said: Column, known: Column) -> Column:
     """Numbers of an answer (parsed) that match none of the known ones (parsed)."""
-    return F.filter(said, lambda n: ~F.exists(known, lambda k: numbers_match(n, k)))
+    return let(known, lambda ks: F.filter(said, lambda n: ~F.exists(ks, lambda k: numbers_match(n, k))))
 
 
 def decimal_text(c: Column, places: int, commas: bool = False) -> Column:

@@ -15,6 +15,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
 _SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often lambdas inside the body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(c: Column) -> Column:
     """The text, an empty one for null."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -41,8 +46,13 @@ def tokens(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """All n-word strings in order; an empty array where there are fewer than ``n`` words."""
-    spans = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, spans).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def spans(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+
+    return let(words, spans)
 
 
 def ngram_hashes(words: Column, n: int) -> Column:
