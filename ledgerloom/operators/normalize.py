@@ -95,11 +95,14 @@ def normalize_records(records: DataFrame, source_split: str = "unknown", dataset
     """
     qa = lambda name: _field(records, "qa", name)
     top = lambda name: _field(records, name)
-    inds = qa("gold_inds")
-    if "qa" in records.columns and isinstance(records.schema["qa"].dataType, T.StructType):
-        k = records.schema["qa"].dataType
-        if "gold_inds" in k.fieldNames() and not isinstance(k["gold_inds"].dataType, T.ArrayType):
-            inds = F.when(inds.isNotNull(), F.array(inds.cast("string")))
+    inner = records.schema["qa"].dataType if "qa" in records.columns else None
+    known = inner.fieldNames() if isinstance(inner, T.StructType) else []
+    if "gold_inds" not in known:
+        inds = F.lit(None).cast("array<string>")
+    elif isinstance(inner["gold_inds"].dataType, T.ArrayType):
+        inds = qa("gold_inds").cast("array<string>")
+    else:
+        inds = F.when(qa("gold_inds").isNotNull(), F.array(qa("gold_inds").cast("string")))
     table = _array(records, "table", "rows")
     question = first_text(qa("question"), top("question"))
     gold = first_text(
@@ -116,7 +119,7 @@ def normalize_records(records: DataFrame, source_split: str = "unknown", dataset
         question.alias("question"),
         gold.alias("gold"),
         program.alias("program"),
-        F.coalesce(inds, F.array().cast("array<string>")).cast("array<string>").alias("evidence"),
+        F.coalesce(inds, F.array().cast("array<string>")).alias("evidence"),
         top("filename").alias("filename"),
         F.coalesce(F.when(table.isNotNull(), F.size(table)), F.lit(0)).alias("raw_table_rows"),
     )
