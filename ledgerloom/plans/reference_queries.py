@@ -14,7 +14,7 @@ from ledgerloom.operators import generate as gen
 from ledgerloom.operators import normalize as norm
 from ledgerloom.operators import programs as prog
 from ledgerloom.operators import prompts, sampling, stats, targets
-from ledgerloom.session import table
+from ledgerloom.session import spread, table
 
 RECORDS = "finqa_normalized_sample"
 #: Rows of the samples below; the mixes are the operators' defaults scaled to a tenth.
@@ -200,7 +200,8 @@ def calculator_exec(spark, d):
     """divide(subtract(price, quantity), quantity) of each line item, run as a program."""
     price, quantity = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("decimal(18,2)").cast("string")
     text = F.concat(F.lit("divide(subtract("), price, F.lit(", "), quantity, F.lit("), "), quantity, F.lit(")"))
-    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", prog.run_program(text).alias("r"))
+    rows = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"))
+    r = rows.select("l_orderkey", "l_linenumber", prog.run_program(text).alias("r"))
     return r.select("l_orderkey", "l_linenumber", "r.answer")
 
 
@@ -289,7 +290,8 @@ def _synthetic_run(spark, d):
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     off = F.element_at(F.array(*[F.lit(x).cast("decimal(6,4)") for x in ("1.0000", "1.0004", "1.0020", "1.0500")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
     said = (price * off).cast("decimal(18,2)").cast("string")
-    return table(spark, d, "lineitem").select(
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return spread(rows).select(
         "l_orderkey",
         "l_linenumber",
         F.col("l_returnflag").alias("subtype"),

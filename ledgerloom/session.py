@@ -54,5 +54,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores over all cores; any larger scan is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
