@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.strings import deletions, edits
 
-#: A word is a misspelling of another that occurs at least so many times as often.
+#: A word is a misspelling of another that occurs at least so many times as often, in rows or in different texts.
 RATIO = 20
 #: Words from this length on may differ in two places, shorter ones in one.
 LONG = 7
@@ -25,35 +25,48 @@ def reach(usual: str, n: int, m: int) -> int:
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(d, w, n) for w, n in zip(pdf["word"], pdf["n"]) for d in deletions(w, 2 if len(w) >= FAIR - 1 else 1)]
-        yield pd.DataFrame(rows, columns=["part", "word", "n"])
+        rows = [
+            (d, w, n, t)
+            for w, n, t in zip(pdf["word"], pdf["n"], pdf["texts"])
+            for d in deletions(w, 2 if len(w) >= FAIR - 1 else 1)
+        ]
+        yield pd.DataFrame(rows, columns=["part", "word", "n", "texts"])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        most = [reach(c, n, m) for c, n, m in zip(pdf["usual"], pdf["n"], pdf["m"])]
+        seen = zip(pdf["usual"], pdf["n"], pdf["m"], pdf["texts"], pdf["usual_texts"])
+        most = [max(reach(c, n, m), reach(c, t, u)) for c, n, m, t, u in seen]
         d = [edits(w, c, k) for w, c, k in zip(pdf["word"], pdf["usual"], most)]
-        yield pdf.assign(d=d)[[x <= m for x, m in zip(d, most)]]
+        yield pdf.assign(d=d)[[x <= m for x, m in zip(d, most)]][["word", "usual", "m", "d"]]
 
 
 def repairs(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, usual): misspelt words with their usual form.
 
-    ``words`` has one row per occurrence in a column ``word``.  Words of under four
-    letters and words with digits are left alone.  Every rare word meets the words
-    that share a deletion with it; the nearest wins, then the most frequent, then
-    the first in order.
+    ``words`` has one row per word of each different text: ``word``, and ``n``, the rows
+    that have the text.  The ratio holds in rows or in different texts, so copies of a
+    misspelt text don't make its words look usual.  Words of under four letters and words
+    with digits are left alone.  Every rare word meets the words that share a deletion
+    with it; the nearest wins, then the most frequent, then the first in order.
     """
-    counts = words.where(F.col("word").rlike(r"^[\p{L}'-]{4,}$")).groupBy("word").agg(F.count("*").alias("n"))
-    parts = counts.mapInPandas(_expand, "part string, word string, n long")
+    counts = (
+        words.where(F.col("word").rlike(r"^[\p{L}'-]{4,}$"))
+        .groupBy("word")
+        .agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    )
+    parts = counts.mapInPandas(_expand, "part string, word string, n long, texts long")
     # rare forms against words that are frequent enough to be anyone's usual form
-    usual = parts.where(f"n >= {ratio}").select("part", F.col("word").alias("usual"), F.col("n").alias("m"))
+    usual = parts.where(f"n >= {ratio}").select(
+        "part", F.col("word").alias("usual"), F.col("n").alias("m"), F.col("texts").alias("usual_texts")
+    )
+    often = (F.col("m") >= ratio * F.col("n")) | (F.col("usual_texts") >= ratio * F.col("texts"))
     pairs = (
         parts.join(usual, "part")
-        .where((F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("usual")))
-        .select("word", "usual", "n", "m")
+        .where(often & (F.col("word") != F.col("usual")))
+        .select("word", "usual", "n", "m", "texts", "usual_texts")
         .distinct()
-        .mapInPandas(_verify, "word string, usual string, n long, m long, d int")
+        .mapInPandas(_verify, "word string, usual string, m long, d int")
     )
     best = Window.partitionBy("word").orderBy("d", F.desc("m"), "usual")
     return pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("word", "usual")

@@ -31,7 +31,9 @@ def canonical_questions(records: DataFrame, ratio: int = spelling.RATIO) -> Data
     base = records.select("row_id", split_name(F.col("source_split")).alias("split"), "dataset", "question")
     base = cut(base)
     tokens = base.select("row_id", F.explode(F.array_distinct(spelling.split_words(F.col("question")))).alias("word"))
-    wrong = cut(spelling.repairs(tokens.select("word"), ratio))
+    # copies of a question, whatever their case and punctuation, count as one text
+    texts = base.groupBy(spelling.split_words(F.col("question")).alias("words")).agg(F.count("*").alias("n"))
+    wrong = cut(spelling.repairs(texts.select(F.explode(F.array_distinct("words")).alias("word"), "n"), ratio))
     fixes = tokens.join(wrong, "word").groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "usual"))).alias("fixes"))
     told = base.join(fixes, "row_id", "left")
     out = told.mapInPandas(_canonicalise, "row_id long, split string, dataset string, canon string")

@@ -44,6 +44,16 @@ def test_misspellings_are_repaired(spark):
     assert {r.row_id_a for r in got} == {i for i in range(240) if i % 3 == 0} and {r.row_id_b for r in got} == {900}
 
 
+def test_copies_do_not_make_a_misspelling_usual(spark):
+    """One misspelt question holds a third of all rows; the right words stand in many different questions."""
+    rows = [(i, "train", "d", ask("Gures industrial ceramic tools", "net revenue", 1960 + i % 60, 2021, 0), 0, None) for i in range(240)]
+    wrong = "what was the percentage change in net revvenue of the Gures industrial ceramic tools business from 1970 to 2021?"
+    rows += [(900 + i, "dev", "d", wrong if i % 2 else wrong.upper(), 0, None) for i in range(120)]
+    got = overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA))[0].collect()
+    want = {(a, b) for a in range(10, 240, 60) for b in range(900, 1020)}
+    assert {(r.row_id_a, r.row_id_b) for r in got} == want
+
+
 def test_empty(spark):
     pairs, canon = overlap.cross_split_pairs(spark.createDataFrame([], SCHEMA))
     assert pairs.count() == 0 and overlap.overlap_report(canon).count() == 0
