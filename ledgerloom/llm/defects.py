@@ -99,36 +99,50 @@ _FIGURE = re.compile(r"\d")
 
 
 def defects(text: str | None, question: str | None, gold: str | None, reply: bool) -> list[str]:
-    """Every defect of one field, in rule order; ``reply`` is false for golds, which are never refusals."""
+    """Every defect of one field, in rule order; ``reply`` is false for golds, which are never refusals.
+
+    Each rule is tested by itself.  An empty field has no words for the other rules, and a
+    reply that abstains where the gold does has no defect.  Unclosed delimiters and abrupt
+    ends are truncation whatever else is wrong; a missing result alone is only where
+    neither a copied question nor declining explains it.
+    """
     if is_empty(text):
         return ["empty"]
-    out = []
     t = clean(text)
     low = t.lower()
+    asked = clean(question).lower()
     copied = copies_question(text, question)
-    if copied:
-        out.append("copies_question")
     result = has_result(text)
-    open_ended = bool(re.match(r"^\s*\{", t) and not t.endswith("}")) or (unclosed(t) and not result)
-    spoken = language(text)
+    # of a copied question only what was added can be in another language
+    own = " ".join(w for w in words(text) if w not in set(words(question))) if copied else text
+    spoken = language(own)
     wanted = language(question, 1) or "en"
-    foreign = reply and not copied and spoken is not None and spoken != wanted
+    foreign = reply and spoken is not None and spoken != wanted
     inner = clean(unwrap(text)[0]).lower().strip(" .!")
+    abstains = is_abstention(low)
+    # a copied question may hold such a phrase itself
+    phrases = [m[0] for m in REFUSALS.finditer(low) if not copied or m[0] not in asked]
+    declines = reply and not result and (bool(phrases) or abstains)
     no_answer = is_abstention(gold) or kind_of_text(question) in UNANSWERABLE
-    declines = bool(REFUSALS.search(low)) or is_abstention(low)
-    if reply and declines and not result and not copied:
-        if not no_answer:
-            out.append("refusal")
-    elif foreign:
-        out.append("other_language")
-        if _ABRUPT.search(low) or unclosed(t) or not (_FIGURE.search(t) or t[-1:] in ".!。"):
-            out.insert(len(out) - 1, "truncated")
-    elif open_ended:
-        out.append("truncated")
-    elif not result and not copied and not is_abstention(low) and inner not in ("yes", "no"):
-        if wanted == "en" or spoken == "en" or _ABRUPT.search(low) or not _FIGURE.search(t):
-            out.append("truncated")
-    return out
+    if declines and no_answer and not copied:
+        return []
+    open_ended = bool(re.match(r"^\s*\{", t) and not t.endswith("}")) or (unclosed(t) and not result)
+    abrupt = bool(_ABRUPT.search(low))
+    if foreign and not copied:
+        broken = abrupt or unclosed(t) or not (declines or _FIGURE.search(t) or t[-1:] in ".!。")
+    elif copied or declines:
+        broken = open_ended or abrupt and not result
+    elif result or abstains or inner in ("yes", "no"):
+        broken = open_ended
+    else:
+        broken = open_ended or abrupt or wanted == "en" or spoken == "en" or not _FIGURE.search(t)
+    rules = {
+        "copies_question": copied,
+        "refusal": declines and not no_answer,
+        "truncated": broken,
+        "other_language": foreign,
+    }
+    return [name for name, fires in rules.items() if fires]
 
 
 def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

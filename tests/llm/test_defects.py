@@ -45,6 +45,25 @@ def test_reply(text, gold, question, want):
     assert (found[0] if found else None) == want
 
 
+@pytest.mark.parametrize(
+    "text,question,want",
+    [
+        ("Ich kann diese Frage leider nicht beantworten (siehe", Q, ["refusal", "truncated", "other_language"]),
+        ("Ich kann diese Frage leider nicht beantworten.", Q, ["refusal", "other_language"]),
+        ("I must decline to compute this because of", Q, ["refusal", "truncated"]),
+        ("Q: " + Q + " (see", Q, ["copies_question", "truncated"]),
+        (Q + " " + Q + " I cannot say.", Q, ["copies_question", "refusal"]),
+        ("Das Ergebnis ist 5 %, berechnet aus den beiden Jahreswerten (", Q, ["truncated", "other_language"]),
+    ],
+)
+def test_every_defect_comes_out(text, question, want):
+    assert defects.defects(text, question, "5", True) == want
+
+
+def test_abstention_where_the_gold_abstains_is_no_defect():
+    assert defects.defects("Ich kann diese Frage leider nicht beantworten.", Q, "cannot determine", True) == []
+
+
 @pytest.mark.parametrize("text,want", [("not enough inf", "truncated"), ("between 5 and", "truncated"), ("-$", "truncated"), ("-", "empty"), ("[]", "empty"),
                                        ("not enough information", None), ("no", None), (Q, "copies_question"), ("$5", None)])
 def test_gold(text, want):
