@@ -3,11 +3,12 @@
 A value may name its unit and scale, or leave either to the question, to the asked
 row of the page's table, to the head of the table or to the page's sentences.  All
 readings that this evidence allows are candidates, ordered by how near the evidence
-is.  Columns that measure the same thing give identities: the gold answer equals its
-program run over the table's cells (in the row's unit), and the answers of a
-prediction equal its gold.  Of the nearest readings the one with the smallest
-absolute log residual of the identities wins; where other readings fit as well, or
-fit clearly better than the evidence says, the solution is flagged as not unique.
+is, and the nearest is taken, as values come out as stated, right or wrong.  Columns
+that measure the same thing give identities: the gold answer equals its program (in
+the row's unit; rows named in a program are not looked up), and the answers of a
+prediction equal its gold.  The absolute log residual of the identity chooses nothing;
+where other readings fit better than the nearest, the solution is flagged as not
+unique.  Percentages and physical quantities without a scale have one reading only.
 """
 
 from __future__ import annotations
