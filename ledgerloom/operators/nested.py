@@ -23,6 +23,11 @@ def blank(c: Column) -> Column:
     return c.isNull() | c.rlike(_BLANK)
 
 
+def ordinal(c: Column) -> Column:
+    """An ordinal as text of six digits, or as many as it has."""
+    return F.when(c > 999_999, c.cast("string")).otherwise(F.lpad(c.cast("string"), 6, "0"))
+
+
 def _node(path: str, label: Column, filled: Column, value: Column) -> Column:
     return F.struct(
         F.lit(path).alias("path"), label.alias("label"), filled.alias("filled"), value.cast("string").alias("value")
@@ -51,7 +56,7 @@ def _walk(c: Column, kind: T.DataType, path: str, label: Column) -> Column:
 def dewey_nodes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, path, label, parent, filled, value): one row per node of ``columns``.
 
-    ``label`` and ``parent`` are sortable strings of six-digit ordinals joined by dots;
+    ``label`` and ``parent`` are strings of ordinals joined by dots, of six digits (sortable) up to 999,999;
     the root of a column has an empty label and a null parent.  ``filled`` says whether
     a node or anything below it is not blank.  Null columns have a root and no children;
     columns of the same name elsewhere in ``df`` are not read.
@@ -60,7 +65,7 @@ def dewey_nodes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     empty = F.array().cast("array<int>")
     nodes = F.concat(*[_walk(F.col(f"`{c}`"), kinds[c], c, empty) for c in columns])
     flat = df.select(F.col(key), F.explode(nodes).alias("n")).select(key, "n.*")
-    text = lambda a: F.array_join(F.transform(a, lambda i: F.lpad(i.cast("string"), 6, "0")), ".")
+    text = lambda a: F.array_join(F.transform(a, ordinal), ".")
     size = F.size("label")
     return flat.select(
         key,
@@ -128,7 +133,7 @@ def report_children(records: DataFrame) -> DataFrame:
     gold = texts.select("rec_no", F.explode(links).alias("l")).select(
         "rec_no",
         F.col("l.path").alias("path"),
-        F.lpad(F.col("l.k").cast("string"), 6, "0").alias("label"),
+        ordinal(F.col("l.k")).alias("label"),
         F.lit("").alias("parent"),
         F.col("l.ok").alias("filled"),
         F.lit(None).cast("string").alias("value"),

@@ -87,3 +87,8 @@ def test_long_text(spark):
     row = (5, None, [long], [["x"]], None, None, None, None, None)
     got = nested.child_rows(spark.createDataFrame([row], SCHEMA)).where("child_kind = 'pre_text'").first()
     assert got.value == long
+
+
+def test_ordinals_of_seven_digits(spark):
+    df = spark.createDataFrame([(5,), (999_999,), (1_000_000,), (1_234_567,)], "k int")
+    assert [r.o for r in df.select(nested.ordinal(df.k).alias("o")).collect()] == ["000005", "999999", "1000000", "1234567"]
