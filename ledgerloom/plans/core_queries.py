@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import nested, units
 from ledgerloom.session import table
@@ -15,13 +16,24 @@ def _quantities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _quantities(spark, d).select("rec_no", "field", "unit", "amount")
+    return _quantities(spark, d).where("amount is not null").select("rec_no", "field", "unit", "amount")
 
 
 def p3_solutions(spark: SparkSession, d: str) -> DataFrame:
+    """Every solution with its residual; amounts beyond 64 bits are in ``exact``."""
     return _quantities(spark, d)
 
 
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Solutions per field and unit: how many are unique, decided by the residual against nearness, or too large."""
+    return _quantities(spark, d).groupBy("field", "unit").agg(
+        F.count("*").alias("n"),
+        F.count_if("unique").alias("n_unique"),
+        F.count_if(~F.col("nearest")).alias("n_overruled"),
+        F.count_if(F.col("amount").isNull()).alias("n_quarantined"),
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_rows(table(spark, d, "finqa_raw_sample")).select("rec_no", "child_kind", "pos", "sub_pos")
 
@@ -30,7 +42,7 @@ def p6_children(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_rows(table(spark, d, "finqa_raw_sample"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_solutions, p6_found, p6_children)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_solutions, p3_report, p6_found, p6_children)}
 
 P6_FOUND = r"""
 WITH r AS (

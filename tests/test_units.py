@@ -74,14 +74,65 @@ def test_ratio_and_yes_no_are_no_quantity():
     assert units.solve("yes", "did net revenue in 2014 exceed that of 2013?", page) is None
 
 
+CHANGE = "what was the change in net revenue of X from 2013 to 2014?"
+
+
+def implied(*values):
+    return [units.Reading("eur", Decimal(v), s, 3) for v, s in values]
+
+
 def test_identity_flags_doubt():
     page = units.LazyPage(PAGE)
-    q = "what was the change in net revenue of X from 2013 to 2014?"
-    implied = units.program_identity("subtract(120.5, 100.0)", q, page, None)
-    assert implied == ("eur", Decimal("20500.0"))
-    assert units.solve("20.5", q, page, implied).unique
-    far = units.solve("20.5", q + " in millions of euros", page, implied)
-    assert far.scale == 6 and not far.unique and far.residual == pytest.approx(3)
+    values = units.program_values("subtract(120.5, 100.0)", CHANGE, page, None)
+    assert [(v.unit, v.value) for v in values] == [("eur", Decimal("20500.0"))]
+    assert units.solve("20.5", CHANGE, page, values).unique
+    # the asked scale is in the value's own question, the program's in the page: one fact, two scales
+    far = units.solve("0.0205", CHANGE + " in millions of euros", page, values)
+    assert (far.amount, far.scale, far.unique, far.nearest) == (20_500_000, 6, True, True)
+    none = units.solve("77", CHANGE, page, values)
+    assert (none.amount, none.unique) == (77_000_000, False)
+
+
+def test_identity_overrules_the_nearest_evidence():
+    """The head says millions, a sentence thousands; the program fits the one with which the value agrees."""
+    page = units.LazyPage(PAGE.replace(" | 2014 | 2013", "EUR millions | 2014 | 2013"))
+    assert [v.scale for v in units.program_values("subtract(120.5, 100.0)", CHANGE, page, None)] == [6, 3]
+    s = units.solve("20.5", CHANGE, page, implied(("20500", 3)))
+    assert (s.amount, s.scale, s.level, s.nearest, s.unique) == (20_500_000, 3, 4, False, True)
+    # without an identity the nearest evidence is taken, and the doubt is said
+    s = units.solve("20.5", CHANGE, page)
+    assert (s.scale, s.level, s.nearest, s.unique) == (6, 3, True, False)
+    # a value that fits in no reading is wrong, not in another unit
+    s = units.solve("3.1", CHANGE, page, implied(("20500", 3)))
+    assert (s.scale, s.nearest) == (6, True)
+
+
+def test_figure_written_out_in_full():
+    page = units.LazyPage(PAGE.replace("thousands", "billions"))
+    values = units.program_values("subtract(2234.0, 1000.0)", CHANGE, page, None)
+    s = units.solve("1,234,000,000,000", CHANGE, page, values)
+    assert (s.amount, s.scale, s.nearest, s.unique) == (1_234_000_000_000_000, 0, False, True)
+
+
+def test_beyond_64_bits():
+    page = units.LazyPage(PAGE.replace("thousands", "billions"))
+    s = units.solve("12,345,678,901", CHANGE, page)  # in billions it would not fit
+    assert (s.amount, s.scale, s.nearest) == (12_345_678_901_000, 0, False)
+    s = units.solve("12,345,678,901 billion", CHANGE, page)
+    assert (s.amount, s.exact) == (None, "12345678901" + "0" * 12)
+    s = units.solve("1000000000000001", CHANGE, units.LazyPage(None), [], "eur")
+    assert s.amount == 1_000_000_000_000_001_000
+    assert units.solve("9" * 6000, CHANGE, units.LazyPage(None), [], "eur").exact == "9" * 6000 + "000"
+    assert units.solve("0", CHANGE, page, implied(("0", 9))).residual == 0
+
+
+def test_fraction_rule_is_kept_but_flagged():
+    q = "what was the percentage change in net revenue of X from 2013 to 2014?"
+    page = units.LazyPage(PAGE)
+    values = units.program_values("subtract(120.5, 100.0), divide(#0, 100.0)", q, page, None)
+    assert units.solve("0.205", q, page, values).unique
+    s = units.solve("20.5", q, page, values)
+    assert (s.amount, s.unique) == (2_050_000, False)
 
 
 def test_column_edges(spark):
@@ -94,9 +145,10 @@ def test_column_edges(spark):
         (3, None, "7%", None, None, None, ("zz",), None, None),
         (4, "AB/2014/page_1.pdf-1", "5 " * 50_000, "q", "c" * 100_000, None, None, None, None),
         (5, None, "1" * 40, "what?", "", "", None, None, None),
+        (6, None, "$" + "1" * 40, "what?", "", "", None, None, None),
     ]
     got = units.gold_quantities(spark.createDataFrame(rows, schema), issuers).collect()
-    assert sorted((r.rec_no, r.unit, r.amount) for r in got) == [(1, "gbp", 5000), (3, "percent", 7000), (3, "percent", 7000)]
+    assert sorted((r.rec_no, r.unit, r.amount) for r in got) == [(1, "gbp", 5000), (3, "percent", 7000), (3, "percent", 7000), (6, "usd", None)]
     assert units.gold_quantities(spark.createDataFrame([], schema)).count() == 0
     p = "pred_no long, id string, gold string, tuned_answer string, base_answer string, question string, context string"
     rows = [
