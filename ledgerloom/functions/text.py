@@ -56,8 +56,14 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def ngram_hashes(words: Column, n: int) -> Column:
-    """Distinct 64-bit hashes of the n-grams."""
-    return F.array_distinct(F.transform(ngrams(words, n), lambda g: F.xxhash64(g)))
+    """Distinct 64-bit hashes of the n-grams, each taken over the hashes of its words."""
+    none = F.array().cast("array<long>")
+
+    def spans(h: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(1)))
+        return F.when(F.size(h) >= n, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, n))))).otherwise(none)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), spans)
 
 
 def contains_abstention(c: Column) -> Column:

@@ -1,25 +1,35 @@
 """Training rows that repeat protected rows, by containment of n-grams.
 
-Overlap is the share of a candidate's distinct n-grams that a protected item has.  Only
-overlaps of at least the threshold matter, so a candidate needs to be looked up with
-its rarest n-grams alone: if it shares ``ceil(t * size)`` of them, it shares one of any
-``size - ceil(t * size) + 1``.  Leaving the most frequent ones out keeps hot n-grams,
-which standard wording makes, from pairing everything with everything.  Pairs that
-meet are then counted exactly.
+Overlap is the share of a candidate's distinct n-grams that a protected item has.  The
+n-grams of protected rows are first put into classes, all n-grams that the same items
+have being one: a page that many protected rows quote is one class, however many n-grams
+and rows it has.  Candidates meet the protected n-grams where they are read (a broadcast of
+checked size), and only counts per candidate and class are shuffled.
+
+Only overlaps of at least the threshold matter, so an item has to be in one of a
+candidate's rarer classes: the most frequent ones, together short of the threshold, find
+no items.  That keeps standard wording from pairing everything with everything.  Pairs
+that are found are then counted exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import ngram_hashes, tokens
-from ledgerloom.session import cut, small
+from ledgerloom.session import cut, small, spread
 
 
-def gram_sets(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, grams): distinct 64-bit n-gram hashes of each row."""
-    return rows.select(F.col(key).alias("key"), ngram_hashes(tokens(F.col(text)), n).alias("grams"))
+def protected_classes(protected: DataFrame, item: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(grams, members): (g, cls, f) of each n-gram and (cls, item) of each class; ``f`` is the number of its items."""
+    grams = ngram_hashes(tokens(F.col(text)), n)
+    p = cut(spread(protected.select(F.col(item).alias("item"), F.col(text))).select("item", F.explode(grams).alias("g")).distinct())
+    named = F.xxhash64(F.col("item").cast("string"))
+    cls = F.xxhash64(F.count("*"), F.bit_xor(named), F.bit_xor(F.xxhash64(F.lit(1), F.col("item").cast("string"))))
+    known = cut(p.groupBy("g").agg(cls.alias("cls"), F.count("*").alias("f")))
+    members = known.groupBy("cls").agg(F.min("g").alias("g")).join(p, "g").select("cls", "item")
+    return known, cut(members)
 
 
 def overlaps(
@@ -37,23 +47,26 @@ def overlaps(
     Protected rows with the same item are merged.  Candidates are told apart by ``key``,
     which must be unique.
     """
-    c = cut(gram_sets(candidates, key, text, n).where(F.size("grams") > 0))
-    raw = protected.select(F.col(item).alias("item"), ngram_hashes(tokens(F.col(item_text)), n).alias("grams")).where(F.size("grams") > 0)
-    p = cut(raw.select("item", F.explode("grams").alias("g")).distinct())
-    freq = p.groupBy("g").agg(F.count("*").alias("f"))
-    probe = c.select("key", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(freq, "g")
+    known, members = protected_classes(protected, item, item_text, n)
+    rows = spread(candidates.select(F.col(key).alias("key"), F.col(text).alias("_text")))
+    grams = rows.select("key", ngram_hashes(tokens(F.col("_text")), n).alias("grams"))
+    probe = grams.select("key", F.size("grams").alias("size"), F.explode("grams").alias("g"))
+    hits = probe.join(small(known), "g").groupBy("key", "size", "cls", "f").agg(F.count("*").alias("n"))
+    members = small(members)
     if threshold > 0:
-        # n-grams that no protected row has come first in the order of rarity
-        rare = Window.partitionBy("key").orderBy("f", "g")
-        hit = probe.withColumn("hits", F.count("*").over(Window.partitionBy("key"))).withColumn("r", F.row_number().over(rare))
         need = F.ceil(F.lit(float(threshold)) * F.col("size") - F.lit(1e-9))
-        probe = hit.where((F.col("hits") >= need) & (F.col("r") <= F.col("hits") - F.greatest(need, F.lit(1)) + 1))
-        pairs = probe.select("key", "g").join(p, "g").select("key", "item").distinct()
-        sets = p.groupBy("item").agg(F.collect_list("g").alias("has"))
-        met = pairs.join(small(sets, 20_000), "item").join(c, "key")
-        out = met.select("key", "item", F.size(F.array_intersect("grams", "has")).alias("shared"), F.size("grams").alias("size"))
+        by_key = hits.groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("f", "cls", "n"))).alias("met"))
+        total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x["n"])
+        by_key = cut(by_key.where(total(F.col("met")) >= need))
+        # classes are in order of frequency: one finds items if it and the more frequent ones can reach the need
+        upto = F.filter("met", lambda x, i: total(F.slice("met", i + 1, F.size("met"))) >= need)
+        found = by_key.select("key", F.explode(F.transform(upto, lambda x: x["cls"])).alias("cls"))
+        pairs = found.join(members, "cls").select("key", "item").distinct()
+        shared = by_key.select("key", "size", F.explode("met").alias("m")).select("key", "size", "m.cls", "m.n")
+        out = pairs.join(shared, "key").join(members, ["cls", "item"])
     else:
-        out = probe.join(p, "g").groupBy("key", "item").agg(F.count("*").cast("int").alias("shared"), F.first("size").alias("size"))
+        out = hits.join(members, "cls")
+    out = out.groupBy("key", "item").agg(F.sum("n").cast("int").alias("shared"), F.first("size").alias("size"))
     out = out.withColumn("overlap", F.col("shared") / F.col("size"))
     return out.where(F.col("overlap") >= threshold)
 

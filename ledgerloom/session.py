@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast; the number is checked before each broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast; both are measured before each broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def build_session(master: str = "local[*]", app: str = "ledgerloom", **conf: str) -> SparkSession:
@@ -18,6 +19,8 @@ def build_session(master: str = "local[*]", app: str = "ledgerloom", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files go when the frames that read them are gone
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -33,12 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one on a single machine and an error on a cluster,
+    whose executors could not read it.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -49,9 +58,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if counting shows at most ``rows`` rows, else unchanged (a shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """Rough size of a value in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = lambda x: _bytes(x, kind.elementType).cast("long")
+        return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + each(x)), F.lit(16))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.MapType):
+        return _bytes(F.map_entries(c), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else without (a shuffled join).
+
+    ``df`` is run once: it is written to the shared folder and measured there.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRDD":
+        df = cut(df)
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(32)).cast("long")
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def spread(df: DataFrame) -> DataFrame:
