@@ -43,6 +43,11 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return report.drop("cell_a", "cell_b")
 
 
+def p2_margins(spark: SparkSession, d: str) -> DataFrame:
+    _, report = quota.sample_to_targets(table(spark, d, RECORDS), table(spark, d, "sampling_targets"))
+    return quota.margin_report(report)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return defects.broken_pairs(table(spark, d, "predictions")).where("nth = 0").select("pred_no", "field", "defect")
 
@@ -111,7 +116,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     *(p1_found, p1_splits, p1_report),
-    *(p2_found, p2_sample, p2_report),
+    *(p2_found, p2_sample, p2_report, p2_margins),
     *(p4_found, p4_report),
     *(p5_found, p5_report),
     *(p7_found, p7_places, p7_items, p7_clean),

@@ -1,28 +1,35 @@
 """Samples whose category shares match target proportions.
 
-The targets of a plan form a two-way table (subtype x answer type) of fractional
-row quotas.  Controlled rounding makes it integer by max-flow, each cell, each
-margin and the total going to the integer below or above.  Each cell then gives
-exactly its quota of rows with the smallest random keys: a histogram of key
-buckets finds the boundary bucket, rows below it are taken by a filter, and only
-rows of the boundary bucket are ranked.
+The targets of a plan form a two-way table (subtype x answer type) of fractional row
+quotas with target margins.  Where a cell has fewer rows than it wants, or a floor asks for
+more than its share, the table is fitted again to both margins: a flow through the cells,
+bounded below by the floors and above by what exists, that leaves the wanted quotas as
+little as possible.  Controlled rounding then makes it integer by max-flow, each cell, each
+margin and the total going to the integer below or above.  Each cell gives exactly its quota
+of rows with the smallest random keys: histograms of key buckets, the second one only of
+the boundary bucket, find the boundary, rows below it are taken by a filter, and only rows
+of the last boundary bucket are ranked.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict, deque
+from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.labels import category
 from ledgerloom.session import cut, small
 
-#: Key buckets per cell; a boundary bucket holds about one row in so many.
-BUCKETS = 16_384
-#: Plan cells that are rounded on the driver; more is an error, as plans are written by hand.
-PLAN_CELLS = 100_000
+#: Bits of the random key per level of buckets, and levels.
+BITS, LEVELS = 14, 2
+#: Quotas are fitted in units of so many to a row.
+UNIT = 1_000_000
+#: Cells are let above what they want step by step, so that what others lack spreads over them.
+STEPS = (1.0, 1.02, 1.05, 1.1, 1.2, 1.5, 2.0, 4.0, math.inf)
 
 
 class _Flow:
@@ -104,14 +111,97 @@ def controlled_rounding(quotas: dict[tuple[str, str], float]) -> dict[tuple[str,
     return {(r, c): low[("row", r), ("col", c)][0] + flow.cap[("col", c), ("row", r)] for (r, c) in q}
 
 
+Cell = tuple[str, str]
+
+
+def fit_quotas(
+    target: Mapping[Cell, float], floor: Mapping[Cell, float], available: Mapping[Cell, float], overfill: bool = True
+) -> dict[Cell, float]:
+    """Fractional quotas between floor and available rows whose margins are those of ``target`` (rows per cell).
+
+    A floor beyond what exists is what exists.  Floors that add up to more than a margin
+    raise it.  Where the rows that exist cannot fill both margins, the quotas fill as much of
+    both as any table can; with ``overfill`` what is missing then comes from other categories
+    of the second margin, so that the first one holds, and last from others of the first,
+    so that the size holds.
+    """
+    low = {c: int(min(floor[c], available[c]) * UNIT) for c in target}
+    most = {c: int(available[c] * UNIT) for c in target}
+    asked = {c: int(round(target[c] * UNIT)) for c in target}
+    want = {c: max(asked[c], low[c]) for c in target}
+    flow = _Flow()
+    sides: list[dict[str, int]] = []
+    for axis in (0, 1):
+        side, base = defaultdict(int), defaultdict(int)
+        for c in target:
+            side[c[axis]] += asked[c]
+            base[c[axis]] += low[c]
+        sides.append(side)
+        for k in side:
+            flow.edge(*(("all", ("row", k)) if axis == 0 else (("col", k), "sink")), max(side[k] - base[k], 0))
+    flow.edge("source", "all", max(sum(asked.values()) - sum(low.values()), 0))
+    given = dict.fromkeys(target, 0)
+    for step in STEPS:
+        for c in target:
+            cap = most[c] if math.isinf(step) else min(int(want[c] * step), most[c])
+            more = cap - low[c] - given[c]
+            if more > 0:
+                flow.edge(("row", c[0]), ("col", c[1]), more)
+                given[c] += more
+        flow.run("source", "sink")
+    everything = sum(most.values())
+    for axis, side in ((1, sides[1]), (0, sides[0])) if overfill else ():
+        before = 1.0
+        for step in STEPS[1:]:
+            for k, rows in side.items():
+                more = everything if math.isinf(step) else int(rows * (step - before))
+                flow.edge(*(("all", ("row", k)) if axis == 0 else (("col", k), "sink")), more)
+            before = step
+            flow.run("source", "sink")
+    return {c: (low[c] + flow.cap[("col", c[1]), ("row", c[0])]) / UNIT for c in target}
+
+
+_PLAN = (
+    "plan_id long, subtype string, answer_type string, cell_a string, cell_b string, target_share double, wanted double, "
+    "available long, fitted double, quota long, short boolean"
+)
+
+
+def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["cell_a", "cell_b"], kind="stable").reset_index(drop=True)
+    cells = list(zip(pdf["cell_a"], pdf["cell_b"]))
+    target = dict(zip(cells, pdf["target"].astype(float)))
+    floor = dict(zip(cells, pdf["floor_rows"].astype(float)))
+    available = dict(zip(cells, pdf["rows"].astype(float)))
+    fitted = fit_quotas(target, floor, available)
+    quota = controlled_rounding(fitted)
+    wanted = [max(floor[c], round(target[c], 9)) for c in cells]
+    return pd.DataFrame(
+        {
+            "plan_id": pdf["plan_id"],
+            "subtype": pdf["subtype"],
+            "answer_type": pdf["answer_type"],
+            "cell_a": pdf["cell_a"],
+            "cell_b": pdf["cell_b"],
+            "target_share": pdf["target_share"],
+            "wanted": wanted,
+            "available": pdf["rows"],
+            "fitted": [fitted[c] for c in cells],
+            "quota": [quota[c] for c in cells],
+            "short": [available[c] < w for c, w in zip(cells, wanted)],
+        }
+    )
+
+
 def plan_quotas(targets: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """One row per category of a plan: wanted, available and granted rows, and whether it falls short.
+    """One row per category of a plan: wanted, available, fitted and granted rows, and whether it falls short.
 
     ``targets`` has the columns of sampling_targets; ``counts`` (cell_a, cell_b, rows)
     the rows by canonical category; ``total`` the number of all rows.  A category
-    wants the larger of its floor and its share of the sample; where fewer rows
-    exist all are granted and the category is reported.  Targets with a null label,
-    plan or share are ignored; repeated targets of a category add up.
+    wants the larger of its floor and its share of the sample; where fewer rows exist it
+    is reported, and the others are fitted to the target margins.  Targets with a null
+    label, plan or share are ignored; repeated targets of a category add up.  Each plan is
+    fitted in one task of its own.
     """
     named = targets.where("plan_id is not null and target_share is not null and sample_frac is not null").select(
         F.col("plan_id").cast("long").alias("plan_id"),
@@ -135,28 +225,25 @@ def plan_quotas(targets: DataFrame, counts: DataFrame, total: int) -> DataFrame:
         )
     )
     joined = named.join(small(counts), ["cell_a", "cell_b"], "left").fillna({"rows": 0})
-    cells = joined.limit(PLAN_CELLS + 1).collect()
-    if len(cells) > PLAN_CELLS:
-        raise ValueError(f"more than {PLAN_CELLS} plan categories")
-    plans = defaultdict(list)
-    for c in cells:
-        plans[c.plan_id].append(c)
-    out = []
-    for plan, mine in sorted(plans.items()):
-        wanted = {(c.cell_a, c.cell_b): max(float(c.floor_rows), round(c.target_share * c.sample_frac * total, 9)) for c in mine}
-        capped = {(c.cell_a, c.cell_b): min(wanted[c.cell_a, c.cell_b], float(c.rows)) for c in mine}
-        quota = controlled_rounding(capped)
-        for c in mine:
-            cell = (c.cell_a, c.cell_b)
-            out.append((plan, c.subtype, c.answer_type, *cell, c.target_share, wanted[cell], c.rows, quota[cell], c.rows < wanted[cell]))
-    return targets.sparkSession.createDataFrame(
-        out,
-        "plan_id long, subtype string, answer_type string, cell_a string, cell_b string, target_share double, "
-        "wanted double, available long, quota long, short boolean",
+    return joined.withColumn("target", F.col("target_share") * F.col("sample_frac") * F.lit(float(total))).groupBy("plan_id").applyInPandas(_plan, _PLAN)
+
+
+def margin_report(report: DataFrame) -> DataFrame:
+    """Per plan, margin and category: the share wanted, the rows granted and their share of the sample."""
+    sides = F.array(
+        F.struct(F.lit("subtype").alias("margin"), F.col("cell_a").alias("category")),
+        F.struct(F.lit("answer_type").alias("margin"), F.col("cell_b").alias("category")),
+    )
+    by = (
+        report.select("plan_id", "target_share", "quota", F.explode(sides).alias("m"))
+        .groupBy("plan_id", "m.margin", "m.category")
+        .agg(F.sum("target_share").alias("target_share"), F.sum("quota").alias("granted"))
     )
+    of_plan = F.sum("granted").over(Window.partitionBy("plan_id", "margin"))
+    return by.withColumn("actual_share", F.col("granted") / F.nullif(of_plan, F.lit(0)))
 
 
-def quota_sample(rows: DataFrame, quotas: DataFrame, key: str = "row_id", seed: int = 13, buckets: int = BUCKETS) -> DataFrame:
+def quota_sample(rows: DataFrame, quotas: DataFrame, key: str = "row_id", seed: int = 13, bits: int = BITS, levels: int = LEVELS) -> DataFrame:
     """(plan_id, key, cell_a, cell_b): exactly ``quota`` rows of each category of each plan.
 
     ``rows`` has the key and the canonical categories cell_a, cell_b; rows with a null
@@ -164,28 +251,35 @@ def quota_sample(rows: DataFrame, quotas: DataFrame, key: str = "row_id", seed:
     seed and key; equal hashes are ordered by key.  Rows with equal keys are told
     apart by nothing and may both be drawn.
     """
-    plan = small(quotas.where("quota > 0").select("plan_id", "cell_a", "cell_b", "quota"))
+    cell = ["plan_id", "cell_a", "cell_b"]
+    plan = small(quotas.where("quota > 0").select(*cell, "quota"))
     keyed = (
         rows.where("cell_a is not null and cell_b is not null")
         .join(plan, ["cell_a", "cell_b"])
-        .withColumn("rank_key", F.xxhash64("plan_id", F.lit(seed), key))
-        .withColumn("bucket", F.pmod("rank_key", F.lit(buckets)))
+        .withColumn("rank_key", F.shiftrightunsigned(F.xxhash64("plan_id", F.lit(seed), key), 1))
     )
-    cell = ["plan_id", "cell_a", "cell_b"]
-    hist = keyed.groupBy(*cell, "bucket").agg(F.count("*").alias("n"), F.first("quota").alias("quota"))
+    # prefix and rest of each cell: rows below the prefix are in, ``rest`` more come out of the bucket of the prefix
+    edge = plan.select(*cell, F.col("quota").alias("rest"), F.lit(0).cast("long").alias("edge"))
     upto = Window.partitionBy(*cell).orderBy("bucket")
-    edge = (
-        hist.withColumn("upto", F.sum("n").over(upto))
-        .withColumn("before", F.col("upto") - F.col("n"))
-        .where("before < quota and upto >= quota")
-        .select(*cell, F.col("bucket").alias("edge"), (F.col("quota") - F.col("before")).alias("rest"))
-    )
-    placed = keyed.join(small(edge), cell, "left")
-    inside = placed.where("edge is null or bucket < edge")
+    for level in range(1, levels + 1):
+        at = F.shiftright("rank_key", 63 - bits * level)
+        here = keyed.select(*cell, at.alias("bucket"))
+        if level > 1:
+            inside = edge.select(*cell, "edge")
+            here = here.join(F.broadcast(inside), cell).where(F.shiftright("bucket", bits) == F.col("edge")).drop("edge")
+        hist = here.groupBy(*cell, "bucket").agg(F.count("*").alias("n"))
+        placed = hist.withColumn("before", F.sum("n").over(upto) - F.col("n")).join(F.broadcast(edge.select(*cell, "rest")), cell)
+        # as many rows as the plans have cells
+        edge = cut(
+            placed.where("before < rest and before + n >= rest").select(*cell, (F.col("rest") - F.col("before")).alias("rest"), F.col("bucket").alias("edge"))
+        )
+    last = F.shiftright("rank_key", 63 - bits * levels)
+    placed = keyed.join(F.broadcast(edge), cell, "left")
+    inside = placed.where(F.col("edge").isNull() | (last < F.col("edge")))
     w = Window.partitionBy(*cell).orderBy("rank_key", key)
-    last = placed.where("bucket = edge").withColumn("r", F.row_number().over(w)).where("r <= rest")
+    ranked = placed.where(last == F.col("edge")).withColumn("r", F.row_number().over(w)).where("r <= rest")
     out = [*cell[:1], key, *cell[1:]]
-    return inside.select(*out).union(last.select(*out))
+    return inside.select(*out).union(ranked.select(*out))
 
 
 def sample_to_targets(records: DataFrame, targets: DataFrame, seed: int = 13) -> tuple[DataFrame, DataFrame]:
@@ -201,5 +295,5 @@ def sample_to_targets(records: DataFrame, targets: DataFrame, seed: int = 13) ->
     )
     counts = cut(rows.groupBy("cell_a", "cell_b").agg(F.count("*").alias("rows")))
     total = counts.agg(F.sum("rows")).first()[0] or 0
-    report = plan_quotas(targets, counts.where("cell_a is not null and cell_b is not null"), total)
+    report = cut(plan_quotas(targets, counts.where("cell_a is not null and cell_b is not null"), total))
     return quota_sample(rows, report, seed=seed), report

@@ -51,7 +51,7 @@ def test_sample_and_report(spark):
         want = max(floor, share * frac * len(rows))
         have = counts[canon(s, t)]
         assert (r.available, r.short) == (have, have < round(want, 9))
-        assert math.floor(min(want, have)) <= r.quota <= math.ceil(min(want, have))
+        assert min(floor, have) <= r.quota <= have
     picked = sample.collect()
     assert len({(r.plan_id, r.row_id) for r in picked}) == len(picked)
     by = Counter((r.plan_id, r.cell_a, r.cell_b) for r in picked)
@@ -61,13 +61,79 @@ def test_sample_and_report(spark):
     assert sorted(map(str, again)) == sorted(map(str, picked))
 
 
+def best_fill(share, size, low, available):
+    """The most rows that any table within the margins and bounds can have, by linear programming over vertices of cuts."""
+    cells = list(share)
+    rows, cols = {c[0] for c in cells}, {c[1] for c in cells}
+    side = lambda axis, k: max(sum(share[c] for c in cells if c[axis] == k) * size, sum(low[c] for c in cells if c[axis] == k))
+    best = math.inf
+    for m in range(1 << len(rows)):
+        inside = {r for i, r in enumerate(sorted(rows)) if m >> i & 1}
+        for n in range(1 << len(cols)):
+            behind = {c for i, c in enumerate(sorted(cols)) if n >> i & 1}
+            # a cut: rows left of it, columns left of it
+            cost = sum(side(0, r) - sum(low[c] for c in cells if c[0] == r) for r in rows - inside)
+            cost += sum(side(1, k) - sum(low[c] for c in cells if c[1] == k) for k in behind)
+            cost += sum(available[c] - low[c] for c in cells if c[0] in inside and c[1] not in behind)
+            best = min(best, cost)
+    return best + sum(low.values())
+
+
+def test_fit_keeps_the_margins_where_the_pool_allows():
+    rng = random.Random(3)
+    exact = 0
+    for _ in range(150):
+        cells = sorted({(f"r{rng.randint(0, 2)}", f"c{rng.randint(0, 3)}") for _ in range(rng.randint(2, 12))})
+        share = {c: rng.random() for c in cells}
+        share = {c: v / sum(share.values()) for c, v in share.items()}
+        size = rng.choice([40, 300])
+        available = {c: rng.choice([0, int(share[c] * size * 0.7), *[size] * 12]) for c in cells}
+        floor = {c: rng.choice([0, 0, 2, 5]) for c in cells}
+        low = {c: min(floor[c], available[c]) for c in cells}
+        target = {c: v * size for c, v in share.items()}
+        got = quota.fit_quotas(target, floor, available, overfill=False)
+        assert all(low[c] - 1e-6 <= got[c] <= available[c] + 1e-6 for c in cells)
+        assert abs(sum(got.values()) - min(best_fill(share, size, low, available), max(size, sum(low.values())))) < 0.01
+        full = quota.fit_quotas(target, floor, available)
+        assert abs(sum(full.values()) - min(max(size, sum(low.values())), sum(available.values()))) < 0.01
+        if not any(low.values()):  # each category of the first margin has what exists of it
+            for k in {c[0] for c in cells}:
+                want, exist = (sum(x[c] for c in cells if c[0] == k) for x in (target, available))
+                assert sum(full[c] for c in cells if c[0] == k) >= min(want, exist) - 0.01
+        for fitted in (got, full):
+            whole = quota.controlled_rounding(fitted)
+            assert all(low[c] <= whole[c] <= available[c] for c in cells)
+        whole = quota.controlled_rounding(got)
+        sides = [(axis, k, sum(target[c] for c in cells if c[axis] == k)) for axis in (0, 1) for k in {c[axis] for c in cells}]
+        floors_fit = all(sum(low[c] for c in cells if c[axis] == k) <= want for axis, k, want in sides)
+        if floors_fit and abs(sum(got.values()) - size) < 0.001:  # then both margins hold, to within one row
+            exact += 1
+            assert all(abs(sum(whole[c] for c in cells if c[axis] == k) - want) < 1 + 1e-3 for axis, k, want in sides)
+        if all(available[c] >= share[c] * size >= floor[c] for c in cells):
+            assert all(abs(got[c] - share[c] * size) < 0.001 for c in cells)
+    assert exact > 30
+
+
+def test_margins_are_fitted_around_a_short_cell(spark):
+    targets = [(1, "ratio", "percent", 0.4, 0, 0.5), (1, "ratio", "number", 0.2, 0, 0.5), (1, "lookup", "percent", 0.2, 0, 0.5), (1, "lookup", "number", 0.2, 0, 0.5)]
+    pool = [("ratio", "percent", 20), ("ratio", "number", 60), ("lookup", "percent", 60), ("lookup", "number", 60)]
+    rows = [(i, s, t, 0, "x", 0) for i, (s, t) in enumerate((s, t) for s, t, n in pool for _ in range(n))]
+    sample, report = quota.sample_to_targets(spark.createDataFrame(rows, ROWS), spark.createDataFrame(targets, TARGETS))
+    got = {(r.subtype, r.answer_type): (r.quota, r.short) for r in report.collect()}
+    assert got == {("ratio", "percent"): (20, True), ("ratio", "number"): (40, False), ("lookup", "percent"): (40, False), ("lookup", "number"): (0, False)}
+    margins = {(r.margin, r.category): (r.granted, round(r.actual_share, 6)) for r in quota.margin_report(report).collect()}
+    assert margins == {("subtype", "ratio"): (60, 0.6), ("subtype", "lookup"): (40, 0.4), ("answer_type", "percent"): (60, 0.6), ("answer_type", "number"): (40, 0.4)}
+    assert sample.count() == 100
+
+
 def test_sample_is_the_smallest_keys(spark):
     _, df = make(spark)
     rows = df.selectExpr("row_id", "'a' as cell_a", "'b' as cell_b")
     q = spark.createDataFrame([(1, "a", "b", 37)], "plan_id long, cell_a string, cell_b string, quota long")
-    got = {r.row_id for r in quota.quota_sample(rows, q, buckets=8).collect()}
-    keys = rows.selectExpr("row_id", "xxhash64(1L, 13, row_id) as k").selectExpr("row_id", "pmod(k, 8) as b", "k").collect()
-    assert got == {r.row_id for r in sorted(keys, key=lambda r: (r.b, r.k, r.row_id))[:37]}
+    keys = rows.selectExpr("row_id", "shiftrightunsigned(xxhash64(1L, 13, row_id), 1) as k").collect()
+    want = {r.row_id for r in sorted(keys, key=lambda r: (r.k, r.row_id))[:37]}
+    for bits, levels in ((14, 2), (2, 1), (1, 3), (3, 2)):
+        assert {r.row_id for r in quota.quota_sample(rows, q, bits=bits, levels=levels).collect()} == want
 
 
 def test_edges(spark):
