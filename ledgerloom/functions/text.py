@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +42,11 @@ def lines(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits; an empty array for null."""
-    return F.transform(F.regexp_extract_all(text(c), F.lit("[A-Za-z0-9]+"), 0), F.lower)
+    """Lower-case runs of ASCII letters and digits; an empty array for null.
+
+    Only ASCII letters are folded, so that no other letter becomes one.
+    """
+    return F.regexp_extract_all(F.translate(text(c), ascii_uppercase, ascii_lowercase), F.lit("[a-z0-9]+"), 0)
 
 
 def ngrams(words: Column, n: int) -> Column:

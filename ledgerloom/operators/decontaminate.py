@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import ngram_hashes, tokens
+from ledgerloom.functions.text import let, ngram_hashes, tokens
 from ledgerloom.session import cut, small, spread
 
 
@@ -49,8 +49,9 @@ def overlaps(
     """
     known, members = protected_classes(protected, item, item_text, n)
     rows = spread(candidates.select(F.col(key).alias("key"), F.col(text).alias("_text")))
-    grams = rows.select("key", ngram_hashes(tokens(F.col("_text")), n).alias("grams"))
-    probe = grams.select("key", F.size("grams").alias("size"), F.explode("grams").alias("g"))
+    # the size goes with each n-gram, so that the n-grams are made once
+    sized = let(ngram_hashes(tokens(F.col("_text")), n), lambda a: F.transform(a, lambda g: F.struct(F.size(a).alias("size"), g.alias("g"))))
+    probe = rows.select("key", F.inline(sized))
     hits = probe.join(small(known), "g").groupBy("key", "size", "cls", "f").agg(F.count("*").alias("n"))
     members = small(members)
     if threshold > 0:

@@ -4,8 +4,8 @@ Every node of a record gets the path of ordinals that leads to it (``[2, 0]`` is
 first child of the third element) and the path of its schema (``table[][]``).  The
 label of the parent is the label without its last ordinal, so parent and child rows
 can be joined without any generated key, and nodes of one schema path form a table.
-The labels are built inside each record by array expressions: one scan, one explode,
-no shuffle.
+The labels are built inside each record by array expressions of a size linear in the depth
+of the schema: one scan, one explode, no shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.text import let
+
 _NODE = "array<struct<path: string, label: array<int>, filled: boolean, value: string>>"
 _BLANK = r"(?U)^[\s\p{Z}]*$"
 
@@ -23,11 +25,6 @@ def blank(c: Column) -> Column:
     return c.isNull() | c.rlike(_BLANK)
 
 
-def ordinal(c: Column) -> Column:
-    """An ordinal as text of six digits, or as many as it has."""
-    return F.when(c > 999_999, c.cast("string")).otherwise(F.lpad(c.cast("string"), 6, "0"))
-
-
 def _node(path: str, label: Column, filled: Column, value: Column) -> Column:
     return F.struct(
         F.lit(path).alias("path"), label.alias("label"), filled.alias("filled"), value.cast("string").alias("value")
@@ -49,34 +46,40 @@ def _walk(c: Column, kind: T.DataType, path: str, label: Column) -> Column:
         return _walk(F.map_entries(c), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])), path, label)
     else:
         return F.array(_node(path, label, ~blank(c.cast("string")), c)).cast(_NODE)
-    here = _node(path, label, F.exists(below, lambda n: n["filled"]), F.lit(None))
-    return F.concat(F.array(here).cast(_NODE), below)
+    # the nodes below are named once: they are used twice, and again by every level above
+    here = lambda nodes: _node(path, label, F.exists(nodes, lambda n: n["filled"]), F.lit(None))
+    return let(below, lambda nodes: F.concat(F.array(here(nodes)).cast(_NODE), nodes))
 
 
-def dewey_nodes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def dewey_nodes(df: DataFrame, key: str, columns: list[str], more: Column | None = None) -> DataFrame:
     """(key, path, label, parent, filled, value): one row per node of ``columns``.
 
-    ``label`` and ``parent`` are strings of ordinals joined by dots, of six digits (sortable) up to 999,999;
+    ``label`` and ``parent`` are arrays of ordinals, which sort in the order of the record;
     the root of a column has an empty label and a null parent.  ``filled`` says whether
     a node or anything below it is not blank.  Null columns have a root and no children;
-    columns of the same name elsewhere in ``df`` are not read.
+    columns of the same name elsewhere in ``df`` are not read.  ``more`` is an array of
+    further nodes (path, label, filled, value) of each record.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     empty = F.array().cast("array<int>")
-    nodes = F.concat(*[_walk(F.col(f"`{c}`"), kinds[c], c, empty) for c in columns])
+    nodes = F.concat(*[_walk(F.col(f"`{c}`"), kinds[c], c, empty) for c in columns], *([] if more is None else [more.cast(_NODE)]))
     flat = df.select(F.col(key), F.explode(nodes).alias("n")).select(key, "n.*")
-    text = lambda a: F.array_join(F.transform(a, ordinal), ".")
     size = F.size("label")
     return flat.select(
         key,
         "path",
-        text(F.col("label")).alias("label"),
-        F.when(size > 0, text(F.slice("label", 1, F.greatest(size - 1, F.lit(0))))).alias("parent"),
+        "label",
+        F.when(size > 0, F.slice("label", 1, F.greatest(size - 1, F.lit(0)))).alias("parent"),
         "filled",
         "value",
     )
 
 
+def dotted(label: Column) -> Column:
+    """A label as text, its ordinals joined by dots."""
+    return F.array_join(F.transform(label, lambda x: x.cast("string")), ".")
+
+
 def node_tables(nodes: DataFrame, paths: list[str]) -> dict[str, DataFrame]:
     """The table of each schema path, a filter over the same nodes."""
     return {p: nodes.where(F.col("path") == p).drop("path") for p in paths}
@@ -121,24 +124,12 @@ def report_children(records: DataFrame) -> DataFrame:
         pointers(F.col("qa.gold_inds")).alias("links"),
     )
     sentences = F.concat("pre_text", "post_text")
-    numbers = lambda kind: F.transform(F.filter("links", lambda p: p["kind"] == kind), lambda p: p["number"])
     row_filled = lambda k: F.coalesce(F.exists(F.get("table", k), lambda x: ~blank(x)), F.lit(False))
-    links = F.concat(
-        F.transform(numbers("table"), lambda k: F.struct(F.lit("gold_table").alias("path"), k.alias("k"), row_filled(k).alias("ok"))),
-        F.transform(
-            numbers("text"), lambda k: F.struct(F.lit("gold_text").alias("path"), k.alias("k"), (~blank(F.get(sentences, k))).alias("ok"))
-        ),
-    )
-    nodes = dewey_nodes(texts, "rec_no", ["pre_text", "table", "post_text"])
-    gold = texts.select("rec_no", F.explode(links).alias("l")).select(
-        "rec_no",
-        F.col("l.path").alias("path"),
-        ordinal(F.col("l.k")).alias("label"),
-        F.lit("").alias("parent"),
-        F.col("l.ok").alias("filled"),
-        F.lit(None).cast("string").alias("value"),
+    link = lambda kind, ok: F.transform(
+        F.filter("links", lambda p: p["kind"] == kind), lambda p: _node(f"gold_{kind}", F.array(p["number"]), ok(p["number"]), F.lit(None))
     )
-    return nodes.union(gold)
+    links = F.concat(link("table", row_filled), link("text", lambda k: ~blank(F.get(sentences, k))))
+    return dewey_nodes(texts, "rec_no", ["pre_text", "table", "post_text"], F.coalesce(links, F.array().cast(_NODE)))
 
 
 # The kinds of child rows by schema path.
@@ -155,16 +146,15 @@ KINDS = {
 def child_rows(records: DataFrame) -> DataFrame:
     """(rec_no, child_kind, pos, sub_pos, parent, value) of all children that are not blank."""
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    ordinals = F.split("label", r"\.")
     return (
         report_children(records)
         .where(F.col("filled") & F.col("path").isin(*KINDS))
         .select(
             "rec_no",
             F.try_element_at(kinds, F.col("path")).alias("child_kind"),
-            ordinals[0].cast("long").alias("pos"),
-            F.when(F.col("path") == "table[][]", ordinals[1].cast("long")).otherwise(F.lit(-1)).cast("long").alias("sub_pos"),
-            "parent",
+            F.get("label", F.lit(0)).cast("long").alias("pos"),
+            F.when(F.col("path") == "table[][]", F.get("label", F.lit(1))).otherwise(F.lit(-1)).cast("long").alias("sub_pos"),
+            dotted(F.col("parent")).alias("parent"),
             "value",
         )
     )

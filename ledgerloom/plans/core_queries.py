@@ -42,7 +42,31 @@ def p6_children(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_rows(table(spark, d, "finqa_raw_sample"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_solutions, p3_report, p6_found, p6_children)}
+def _node_table(spark: SparkSession, d: str, path: str) -> DataFrame:
+    """The rows of one schema path, blank ones included, each with its label and its parent's."""
+    nodes = nested.node_tables(nested.report_children(table(spark, d, "finqa_raw_sample")), [path])[path]
+    return nodes.select("rec_no", nested.dotted(F.col("label")).alias("label"), nested.dotted(F.col("parent")).alias("parent"), "filled", "value")
+
+
+def p6_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _node_table(spark, d, "table[]").drop("value")
+
+
+def p6_table_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _node_table(spark, d, "table[][]")
+
+
+def p6_schema_paths(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of the raw records, whatever their nesting: nodes and filled nodes per schema path."""
+    raw = table(spark, d, "finqa_raw_sample")
+    nodes = nested.dewey_nodes(raw, "rec_no", [c for c in raw.columns if c != "rec_no"])
+    return nodes.groupBy("path").agg(F.count("*").alias("n"), F.count_if("filled").alias("n_filled"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_solutions, p3_report, p6_found, p6_children, p6_table_rows, p6_table_cells, p6_schema_paths)
+}
 
 P6_FOUND = r"""
 WITH r AS (
@@ -76,4 +100,22 @@ UNION ALL SELECT rec_no, 'gold_text', n, -1::BIGINT FROM links WHERE kind = 'tex
   AND EXISTS (SELECT 1 FROM filled f WHERE f.rec_no = links.rec_no AND f.pos + f.shift = n)
 """
 
-ORACLE: dict[str, str] = {"p6_found": P6_FOUND}
+_P6 = P6_FOUND.split("SELECT rec_no, kind AS child_kind")[0]
+P6_CHILDREN = rf"""{_P6}
+SELECT rec_no, kind AS child_kind, pos::BIGINT AS pos, -1::BIGINT AS sub_pos, '' AS parent, v AS value FROM filled
+UNION ALL SELECT DISTINCT rec_no, 'table_row', pos::BIGINT, -1::BIGINT, '', NULL FROM full_cells
+UNION ALL SELECT rec_no, 'table_cell', pos::BIGINT, sub_pos::BIGINT, pos::VARCHAR, v FROM full_cells
+UNION ALL SELECT rec_no, 'gold_table', n, -1::BIGINT, '', NULL FROM links WHERE kind = 'table'
+  AND EXISTS (SELECT 1 FROM full_cells c WHERE c.rec_no = links.rec_no AND c.pos = n)
+UNION ALL SELECT rec_no, 'gold_text', n, -1::BIGINT, '', NULL FROM links WHERE kind = 'text'
+  AND EXISTS (SELECT 1 FROM filled f WHERE f.rec_no = links.rec_no AND f.pos + f.shift = n)
+"""
+_FILLED = r"(v IS NOT NULL AND NOT regexp_full_match(v, '[\s\pZ]*'))"
+P6_TABLE_ROWS = rf"""{_P6}
+SELECT rec_no, pos::VARCHAR AS label, '' AS parent,
+  len(list_filter(coalesce(cells, []), lambda v: {_FILLED})) > 0 AS filled FROM table_rows
+"""
+P6_TABLE_CELLS = rf"""{_P6}
+SELECT rec_no, pos || '.' || sub_pos AS label, pos::VARCHAR AS parent, {_FILLED} AS filled, v AS value FROM cells
+"""
+ORACLE: dict[str, str] = {"p6_found": P6_FOUND, "p6_children": P6_CHILDREN, "p6_table_rows": P6_TABLE_ROWS, "p6_table_cells": P6_TABLE_CELLS}

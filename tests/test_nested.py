@@ -72,12 +72,12 @@ def test_empty_and_null(spark):
 def test_dewey_labels(spark):
     df = spark.createDataFrame([(1, [("a", [1, 2]), ("b", None)])], "k long, items array<struct<name: string, values: array<int>>>")
     rows = nested.dewey_nodes(df, "k", ["items"]).collect()
-    by = {(r.path, r.label): r for r in rows}
-    leaf = by["items[].values[]", "000000.000001.000001"]
-    assert leaf.value == "2" and leaf.parent == "000000.000001"
-    labels = {r.label for r in rows}
+    by = {(r.path, tuple(r.label)): r for r in rows}
+    leaf = by["items[].values[]", (0, 1, 1)]
+    assert leaf.value == "2" and leaf.parent == [0, 1]
+    labels = [r.label for r in rows]
     assert all(r.parent is None or r.parent in labels for r in rows)
-    assert by["items", ""].parent is None
+    assert by["items", ()].parent is None
     tables = nested.node_tables(nested.dewey_nodes(df, "k", ["items"]), ["items[].name"])
     assert sorted(r.value for r in tables["items[].name"].collect()) == ["a", "b"]
 
@@ -90,5 +90,28 @@ def test_long_text(spark):
 
 
 def test_ordinals_of_seven_digits(spark):
-    df = spark.createDataFrame([(5,), (999_999,), (1_000_000,), (1_234_567,)], "k int")
-    assert [r.o for r in df.select(nested.ordinal(df.k).alias("o")).collect()] == ["000005", "999999", "1000000", "1234567"]
+    df = spark.range(1).selectExpr("id as k", "transform(sequence(0, 1000001), i -> if(i = 1000001, 'x', '')) as a")
+    rows = nested.dewey_nodes(df, "k", ["a"]).where("filled and path = 'a[]'").collect()
+    assert [(r.label, r.parent, r.value) for r in rows] == [([1_000_001], [], "x")]
+
+
+def test_expression_is_linear_in_depth(spark):
+    def plan(depth):
+        kind, value = "string", "x"
+        for _ in range(depth):
+            kind, value = f"array<{kind}>", [value]
+        df = spark.createDataFrame([(1, value)], f"k long, a {kind}")
+        nodes = nested.dewey_nodes(df, "k", ["a"])
+        if depth in (3, 12):
+            assert nodes.count() == depth + 1 and nodes.where("filled").count() == depth + 1
+        return len(nodes._jdf.queryExecution().analyzed().toString())
+
+    sizes = {d: plan(d) for d in (3, 6, 12)}
+    assert sizes[12] - sizes[6] < 3 * (sizes[6] - sizes[3])
+
+
+def test_one_scan(spark, tmp_path):
+    rows = [make(random.Random(1), i) for i in range(20)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "r"))
+    plan = nested.child_rows(spark.read.parquet(str(tmp_path / "r")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 0
