@@ -42,6 +42,41 @@ TEMPLATE_WORDS = frozenset(
     year years you zwischen above der den wurde
     """.split()
 )
+# Template words that belong to some kinds of question only; in any other they are part of the measure.
+BOUND_WORDS = {
+    "after": ("lookup",),
+    "auditors": ("expected",),
+    "average": ("average",),
+    "budgeted": ("budgeted",),
+    "buyer": ("buyer_share",),
+    "comparative": ("lookup",),
+    "comparing": ("compare",),
+    "difference": ("difference",),
+    "durchschnitt": ("average",),
+    "durchschnittlich": ("average",),
+    "ends": ("expected",),
+    "exceed": ("compare",),
+    "expect": ("expected",),
+    "greater": ("compare",),
+    "growth": ("percent",),
+    "higher": ("difference", "compare"),
+    "later": ("compare",),
+    "level": ("ratio",),
+    "lower": ("difference", "compare"),
+    "many": ("ratio",),
+    "mean": ("average",),
+    "move": ("percent", "difference"),
+    "movement": ("percent", "difference"),
+    "multiple": ("ratio",),
+    "next": ("lookup",),
+    "once": ("expected",),
+    "plan": ("expected", "budgeted"),
+    "rate": ("percent",),
+    "ratio": ("ratio",),
+    "share": ("buyer_share",),
+    "single": ("buyer_share",),
+    "times": ("ratio",),
+}
 # The words that decide the kind of result, in order of precedence.
 KIND_WORDS = (
     ("expected", {"auditors", "expect"}),
@@ -58,6 +93,9 @@ KIND_WORDS = (
 UNANSWERABLE = frozenset({"expected", "budgeted", "buyer_share"})
 _UNIT_PHRASE = re.compile(r"(?:,\s*|\(|\bexpressed )?\bin (thousands|millions|billions) of (dollars|euros|pounds)\b\)?", re.I)
 _OWNER = re.compile(r"\b(was|did)\b((?:(?!\b(?:was|did)\b).)*?)(?:'s|s')\s", re.I)
+#: Content words that a question without its owner still has, business and measure; with fewer the owner is the business.
+CONTENT = 3
+_BACKWARDS = re.compile(r"\b(?:from|von)\s+((?:19|20)\d\d)\s+(?:to|bis)\s+((?:19|20)\d\d)\b")
 _REPORTER = re.compile(r"\bdid\b(.*?)\breport for\b", re.I)
 _FRAME = re.compile(r"(?:^\W*q\b[.:]?\s)|" + "|".join(rf"\b{re.escape(f)}\b" for f in FRAMES), re.I)
 
@@ -103,32 +141,46 @@ def kind_of_text(text: str | None) -> str:
 
 
 def strip_frame(text: str | None) -> str:
-    """The question without framing phrases, unit requests and the owner's name."""
+    """The question without framing phrases and unit requests."""
     t = clean(text)
-    t = _UNIT_PHRASE.sub(" ", t)
-    t = _FRAME.sub(" ", t)
-    t = _OWNER.sub(r"\1 ", t)
-    return _REPORTER.sub("did report for ", t)
+    return _FRAME.sub(" ", _UNIT_PHRASE.sub(" ", t))
+
+
+def strip_owner(text: str) -> str:
+    """The question without the name of the company that owns the business."""
+    return _REPORTER.sub("did report for ", _OWNER.sub(r"\1 ", text))
+
+
+def _content(tokens: list[str], kind: str) -> list[str]:
+    bare = {w for w in tokens if w not in TEMPLATE_WORDS or kind not in BOUND_WORDS.get(w, (kind,))}
+    return sorted(w for w in bare if not _YEAR.fullmatch(w))
 
 
 def parse(text: str | None, fix: dict[str, str] | None = None) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
     """(kind, years in ascending order, distinct content words in ascending order).
 
     ``fix`` maps misspelt words to their usual form.  Null or blank text gives
-    ``("none", (), ())``.
+    ``("none", (), ())``.  Years asked backwards (from 2019 to 2018) come backwards.  The
+    owner of the business is left out unless it is all that names one.
     """
     t = clean(text).lower()
     if not t:
         return "none", (), ()
     if fix:
         t = _WORD.sub(lambda m: fix.get(m.group(), m.group()), t)
-    t = strip_frame(t)
-    tokens = _WORD.findall(t)
+    whole = strip_frame(t)
+    short = strip_owner(whole)
+    tokens = _WORD.findall(short)
     kind = kind_of(set(tokens))
-    years = tuple(sorted(set(w for w in tokens if _YEAR.fullmatch(w))))
+    years = tuple(sorted({w for w in tokens if _YEAR.fullmatch(w)}))
+    back = _BACKWARDS.search(short)
+    if back and back[1] > back[2]:
+        years = years[::-1]
     if kind == "other":
         return kind, years, tuple(tokens)
-    content = sorted({w for w in tokens if w not in TEMPLATE_WORDS and not _YEAR.fullmatch(w)})
+    content = _content(tokens, kind)
+    if len(content) < CONTENT and short != whole:
+        content = _content(_WORD.findall(whole), kind)
     return kind, years, tuple(content)
 
 

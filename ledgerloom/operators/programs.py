@@ -14,25 +14,28 @@ from ledgerloom.functions import program as lang
 from ledgerloom.functions.numbers import number_token_count
 from ledgerloom.functions.text import text
 
-RUN_TYPE = "answer string, trace string, ops array<string>, steps int, error string"
+RUN_TYPE = "answer string, trace string, ops array<string>, steps int, error string, supported boolean"
 
 
 def _run_one(p: str | None) -> tuple:
     try:
         r = lang.execute(p)
     except (lang.ProgramError, DecimalException, OverflowError) as e:
-        return None, None, [], 0, str(e) or type(e).__name__
-    return r.answer, r.trace, [s.operation for s in r.steps], len(r.steps), None
+        return None, None, [], 0, str(e) or type(e).__name__, supported_sequence(p or "")
+    return r.answer, r.trace, [s.operation for s in r.steps], len(r.steps), None, supported_sequence(p)
 
 
 def _run_batch(programs: pd.Series) -> pd.DataFrame:
     known = {p: _run_one(p) for p in programs.unique()}
     rows = [known[p] for p in programs]
-    return pd.DataFrame(rows, columns=["answer", "trace", "ops", "steps", "error"])
+    return pd.DataFrame(rows, columns=["answer", "trace", "ops", "steps", "error", "supported"])
 
 
 def run_program(c: Column) -> Column:
-    """Struct (answer, trace, ops, steps, error) of each program; a failing one has only ``error``."""
+    """Struct (answer, trace, ops, steps, error, supported) of each program.
+
+    A failing one has only ``error`` and ``supported`` (top-level calls of known operations).
+    """
     return F.pandas_udf(_run_batch, RUN_TYPE)(c)
 
 
@@ -160,13 +163,14 @@ def extract_program(reply: str | None) -> str | None:
     return None
 
 
-def extract_program_column(c: Column) -> Column:
-    """The program in each reply, null where there is none."""
-    return F.pandas_udf(lambda s: s.map(extract_program, na_action=None).astype(object), "string")(c)
+def _extract_batch(replies: pd.Series) -> pd.Series:
+    known = {r: extract_program(r) for r in replies.unique()}
+    return pd.Series([known[r] for r in replies], dtype=object)
 
 
-def supported_column(c: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda p: supported_sequence(p or "")), "boolean")(c)
+def extract_program_column(c: Column) -> Column:
+    """The program in each reply, null where there is none."""
+    return F.pandas_udf(_extract_batch, "string")(c)
 
 
 def operand_lists(c: Column) -> Column:
@@ -195,12 +199,23 @@ SCALE_OR_UNIT = (
 NEGATIVE_OPERAND = r"(?iU)(^|[\s,(])-\d|const_m\d"
 
 
+_BELOW = -(1 << 30)
+
+
 def program_ops(c: Column) -> Column:
-    """Operations of the outermost calls; nested ones are left out."""
-    inner = text(c)
-    for _ in range(4):  # fold innermost argument lists until only outer calls remain
-        inner = F.regexp_replace(inner, r"\(([^()]*[A-Za-z_]+\s*<>[^()]*|[^()]*)\)", "<>")
-    return F.transform(F.regexp_extract_all(inner, F.lit(r"([A-Za-z_]+)\s*<>"), 1), F.lower)
+    """Operations of the outermost calls, in order, however deep the others are nested; none where brackets do not match."""
+    marks = F.regexp_extract_all(text(c), F.lit(r"[A-Za-z_]*\s*\(|\)"), 0)
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("ops"))
+
+    def step(a: Column, mark: Column) -> Column:
+        name = F.lower(F.regexp_extract(mark, "^[A-Za-z_]+", 0))
+        outer = (a["depth"] == 0) & (name != "")
+        return F.when(
+            mark == ")",
+            F.struct(F.when(a["depth"] <= 0, F.lit(_BELOW)).otherwise(a["depth"] - 1).alias("depth"), a["ops"].alias("ops")),
+        ).otherwise(F.struct((a["depth"] + 1).alias("depth"), F.when(outer, F.concat(a["ops"], F.array(name))).otherwise(a["ops"]).alias("ops")))
+
+    return F.aggregate(marks, start, step, lambda a: F.when(a["depth"] == 0, a["ops"]).otherwise(F.array().cast("array<string>")))
 
 
 def target_tags(program: Column, question: Column, context: Column, kind: Column, table_rows: Column, ops: Column, steps: Column) -> Column:

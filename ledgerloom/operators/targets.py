@@ -27,7 +27,6 @@ def validate_programs(rows: DataFrame, column: str = "program") -> DataFrame:
     program = programs.normalize_program(raw)
     known = [*programs.lang.OPERATIONS]
     base = rows.withColumn("_program", program).withColumn("_run", programs.run_program(program))
-    base = base.withColumn("_supported", programs.supported_column(F.col("_program")))
     run = F.col("_run")
     executable = (F.col("_program") != "") & run["error"].isNull()
     gold = strip(text(F.col("gold")))
@@ -41,7 +40,7 @@ def validate_programs(rows: DataFrame, column: str = "program") -> DataFrame:
             error("not_one_line", (raw != "") & ~one_line),
             error("contains_non_program_text", raw.rlike(FORBIDDEN_IN_PROGRAM)),
             error("unsupported_operation", (F.col("_program") != "") & unknown),
-            error("parse_error:unsupported_program_sequence", (F.col("_program") != "") & ~F.col("_supported")),
+            error("parse_error:unsupported_program_sequence", (F.col("_program") != "") & ~run["supported"]),
             error(F.concat(F.lit("execution_error:"), run["error"]), (F.col("_program") != "") & run["error"].isNotNull()),
             error(F.concat(F.lit("gold_mismatch:"), match["reason"]), executable & (gold != "") & ~match["is_match"]),
         )
@@ -57,7 +56,7 @@ def validate_programs(rows: DataFrame, column: str = "program") -> DataFrame:
         (executable & (gold != "") & F.coalesce(match["is_match"], F.lit(False))).alias("matches_gold"),
         errors.alias("errors"),
     )
-    return base.withColumn("check", check).drop("_program", "_run", "_supported")
+    return base.withColumn("check", check).drop("_program", "_run")
 
 
 def program_targets(rows: DataFrame) -> DataFrame:

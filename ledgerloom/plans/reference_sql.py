@@ -92,8 +92,11 @@ SELECT * FROM first UNION ALL SELECT row_id, 'fallback' FROM rest WHERE r <= 60
 """
 
 _Q, _P = "coalesce(question, '')", "coalesce(program, '')"
-_OPS = rf"""list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace({_P}, '\([^()]*\)', '<>', 'g'),
-  '\([^()]*\)', '<>', 'g'), '\([^()]*\)', '<>', 'g'), '([A-Za-z_]+)\s*<>', 1), lambda o: lower(o))"""
+_FOLDED = _P
+for _ in range(12):  # innermost argument lists become a mark until only outer calls are left
+    _FOLDED = rf"regexp_replace({_FOLDED}, '\([^()]*\)', '<>', 'g')"
+_OPS = rf"""list_transform(CASE WHEN regexp_matches({_FOLDED}, '[()]') THEN [] ELSE regexp_extract_all({_FOLDED}, '([A-Za-z_]+)\s*<>', 1) END,
+  lambda o: lower(o))"""
 _PCT = "lower(coalesce(answer_type, '')) = 'percent'"
 _CHANGE = (
     r"(?i)\b(change|changed|increase|increased|decrease|decreased|growth|grew|decline|declined|from|to|compared|versus|vs\.?|"

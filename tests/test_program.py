@@ -4,6 +4,7 @@ from decimal import Decimal, getcontext
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerloom.functions import program as lang
 from ledgerloom.operators import programs
@@ -100,3 +101,22 @@ def test_decimal_context_is_left_alone():
     before = getcontext().prec
     lang.execute("divide(1, 3)")
     assert getcontext().prec == before
+
+
+@pytest.mark.parametrize(
+    "program,ops",
+    [
+        ("divide(add(add(add(add(add(1,2),3),4),5),6),7)", ["divide"]),
+        ("add(" * 10 + "1" + ", 2)" * 10 + ", Subtract(#9, (3))", ["add", "subtract"]),
+        ("subtract(1, 2), divide(#0, add(1, 2))", ["subtract", "divide"]),
+        ("add(1, 2", []),
+        ("add(1, 2))", []),
+        (")add(", []),
+        ("12", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_outermost_operations(spark, program, ops):
+    got = spark.createDataFrame([(program,)], "p string").select(programs.program_ops(F.col("p")).alias("o")).first().o
+    assert got == ops and lang.operation_names(program) == ops
