@@ -1,5 +1,6 @@
 import random
 
+from ledgerloom.functions.questions import canonical
 from ledgerloom.functions.strings import deletions, edits
 from ledgerloom.llm import overlap
 
@@ -54,6 +55,30 @@ def test_copies_do_not_make_a_misspelling_usual(spark):
     assert {(r.row_id_a, r.row_id_b) for r in got} == want
 
 
+def test_many_misspellings_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "TOLD_ROWS", 0)
+    test_misspellings_are_repaired(spark)
+
+
+def test_different_questions_stay_apart():
+    pairs = [
+        ("what was the change in plan assets from 2018 to 2019?", "what was the change in assets from 2018 to 2019?"),
+        ("what was Acme's revenue change from 2018 to 2019?", "what was Beta's revenue change from 2018 to 2019?"),
+        ("what was the change in net revenue from 2018 to 2019?", "what was the change in net revenue from 2019 to 2018?"),
+        ("what was the percent change in mean level of inventory from 2018 to 2019?", "what was the percent change in inventory from 2018 to 2019?"),
+    ]
+    assert all(canonical(a) != canonical(b) for a, b in pairs)
+    one = "how much higher or lower was Acme's Gures retail tools net revenue in 2022 than in 2020?"
+    assert canonical(one) == canonical(one.replace("Acme's ", "")) == canonical("what was the change in net revenue of the Gures retail tools business from 2020 to 2022?")
+
+
+def test_plain_rows_of_the_report(spark):
+    q = ask("Gures retail tools", "net revenue", 2010, 2011)
+    rows = [(1, "train", "d", q, 0, None), (2, "dev", "d", q.upper() + " !", 0, None), (3, "dev", "d", ask("Gures retail tools", "net revenue", 2010, 2011, 1), 0, None), (4, "dev", "d", None, 0, None)]
+    r = overlap.overlap_report(overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA))[1]).first()
+    assert (r.eval_rows, r.plain_rows, r.leaked_rows, r.pairs) == (3, 1, 2, 2)
+
+
 def test_empty(spark):
     pairs, canon = overlap.cross_split_pairs(spark.createDataFrame([], SCHEMA))
     assert pairs.count() == 0 and overlap.overlap_report(canon).count() == 0
