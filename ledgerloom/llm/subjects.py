@@ -42,26 +42,48 @@ NO_SUBJECT = "none"
 REMEMBERED = 200_000
 
 _TAG = re.compile(r"<[^<>\n]{1,80}>")
-_WRAP = re.compile(r"(?<=[^\W\d_,])[-‐­]\n(?=[^\W\d_])")
-_LINE = re.compile(r"(?<=[^\W\d_,;])[ \t]*\n(?=[^\W\d_A-ZÄÖÜ])")
-_END = re.compile(r"(?<=[.!?])[\"'”’)\]*_]*\s+|\n+|\s\|\s|\t+")
+# patterns name their first characters first, as those are what the regex engine can search for
+_WRAP = re.compile(r"[-‐\u00ad](?<=[^\W\d_,][-‐\u00ad])\n(?=[^\W\d_])")
+_BLANKS = re.compile(r"[ \t]+\n")
+_LINE = re.compile(r"\n(?<=[^\W\d_,;]\n)(?=[^\W\d_A-ZÄÖÜ])")
+_END = re.compile(r"[.!?][\"'”’)\]*_]*\s+|\n+|\s\|\s|\t+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
+class Sentences:
+    """Sentences of whole texts; a task remembers the words of sentences that it has met."""
+
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.known: dict[str, str] = {}
+        self.most = most
+
+    def __call__(self, text: str | None) -> list[str]:
+        """Sentences as lower-case words joined by blanks; mark-up, figures and lone words are left out."""
+        if not text:
+            return []
+        t = html.unescape(text) if "&" in text else text
+        if not t.isascii():
+            t = unicodedata.normalize("NFKC", t).replace("\u00ad", "").replace("\u200b", "")
+        if "<" in t:
+            t = _TAG.sub(" ", t)
+        if "\n" in t:
+            t = _LINE.sub(" ", _BLANKS.sub("\n", _WRAP.sub("", t)))
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        out = []
+        for part in _END.split(t):
+            words = known.get(part)
+            if words is None:
+                found = _WORDS.findall(part.lower())
+                words = known[part] = " ".join(found) if len(found) > 2 else ""
+            if words:
+                out.append(words)
+        return out
+
+
 def sentences(text: str | None) -> list[str]:
-    """Sentences of a whole text as lower-case words joined by blanks; mark-up, figures and lone words are left out."""
-    if not text:
-        return []
-    t = html.unescape(text) if "&" in text else text
-    if not t.isascii():
-        t = unicodedata.normalize("NFKC", t).replace("­", "").replace("​", "")
-    t = _LINE.sub(" ", _WRAP.sub("", _TAG.sub(" ", t)))
-    out = []
-    for part in _END.split(t):
-        words = _WORDS.findall(part.lower())
-        if len(words) > 2:
-            out.append(" ".join(words))
-    return out
+    return Sentences()(text)
 
 
 def _hash(feature: str, buckets: int) -> int:
@@ -99,6 +121,11 @@ class Block:
         weight = [np.concatenate(([0.5 if k > 1 else 1.0], np.full(k - 1, 0.5 / max(k - 1, 1)))) for k in self.word_sizes]
         self.weights = np.concatenate(weight) if weight else np.zeros(0)
         self.buckets = buckets
+        # occurrences in the order of their words and of their features, so that sums need no scattered additions
+        self.by_word = np.argsort(self.sentence_words, kind="stable")
+        self.word_starts = np.searchsorted(self.sentence_words[self.by_word], np.arange(len(self.word_sizes)))
+        self.by_feature = np.argsort(self.features, kind="stable")
+        self.used, self.feature_starts = np.unique(self.features[self.by_feature], return_index=True)
 
     def _forward(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = np.add.reduceat(e[self.features] * self.weights[:, None], np.cumsum(self.word_sizes) - self.word_sizes, axis=0)
@@ -117,9 +144,9 @@ class Block:
         d = self.n[:, None] * p - self.hits
         loss = float(-(self.hits * np.log(p) + (self.n[:, None] - self.hits) * np.log(1 - p)).sum())
         ds = (d @ w.T) / self.sizes[:, None]
-        per_word = np.zeros((len(self.word_sizes), e.shape[1]))
-        np.add.at(per_word, self.sentence_words, np.repeat(ds, self.sizes, axis=0))
-        np.add.at(zero["e"], self.features, np.repeat(per_word, self.word_sizes, axis=0) * self.weights[:, None])
+        per_word = np.add.reduceat(np.repeat(ds, self.sizes, axis=0)[self.by_word], self.word_starts, axis=0)
+        per_feature = (np.repeat(per_word, self.word_sizes, axis=0) * self.weights[:, None])[self.by_feature]
+        zero["e"][self.used] = np.add.reduceat(per_feature, self.feature_starts, axis=0)
         zero["w"], zero["b"] = s.T @ d, d.sum(axis=0)
         return zero, loss, float(self.n.sum())
 
@@ -163,13 +190,14 @@ def count_sentences(rows, subjects: list[str]) -> dict[str, np.ndarray]:
     """Occurrences and label hits of each distinct sentence of (text, labels) rows."""
     at = {s: i + 1 for i, s in enumerate(subjects)}
     counts: dict[str, np.ndarray] = {}
+    split = Sentences()
     for text, labels in rows:
         hit = np.zeros(len(subjects) + 1)
         hit[0] = 1
         for x in labels:
             if x in at:
                 hit[at[x]] = 1
-        for t in sentences(text):
+        for t in split(text):
             if t in counts:
                 counts[t] = counts[t] + hit
             else:
@@ -280,8 +308,9 @@ def _score(model, needed: int):
         m = model.value
         subjects = m["subjects"]
         known: dict[str, tuple[int, ...]] = {}
+        parts = Sentences()
         for pdf in batches:
-            split = [sentences(t) for t in pdf["text"]]
+            split = [parts(t) for t in pdf["text"]]
             if len(known) > REMEMBERED:
                 known.clear()
             new = list({s for doc in split for s in doc if s not in known})
