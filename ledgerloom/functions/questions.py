@@ -100,16 +100,27 @@ _REPORTER = re.compile(r"\bdid\b(.*?)\breport for\b", re.I)
 _FRAME = re.compile(r"(?:^\W*q\b[.:]?\s)|" + "|".join(rf"\b{re.escape(f)}\b" for f in FRAMES), re.I)
 
 
+#: Length up to which cleaned texts are remembered.
+SHORT = 4096
+
+
 def clean(text: str | None) -> str:
     """Compatibility-normalised text with plain quotes, hyphens and single spaces."""
     if not text:
         return ""
+    return _clean_short(text) if len(text) <= SHORT else _clean(text)
+
+
+def _clean(text: str) -> str:
     t = text if text.isascii() else unicodedata.normalize("NFKC", text)
     if not t.isascii():
         t = t.translate(_PLAIN)
     return " ".join(t.split())
 
 
+_clean_short = lru_cache(1 << 11)(_clean)
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case words of the cleaned text, years and figures included."""
     return _WORD.findall(clean(text).lower())

@@ -32,7 +32,10 @@ LANGUAGE_WORDS = {
     "ro": "conform cu de din este în la pe răspunsul și tabelului un",
     "hu": "a az egy és szerint táblázat válasz",
 }
-_WORDS = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
+_SPOKEN: dict[str, list[str]] = {}
+for _language, _words in LANGUAGE_WORDS.items():
+    for _word in set(_words.split()):
+        _SPOKEN.setdefault(_word, []).append(_language)
 # Scripts other than Latin, by a range of letters.
 SCRIPTS = {
     "ja": r"[぀-ヿ]",
@@ -54,21 +57,27 @@ ABSTENTIONS = re.compile(
 )
 
 
-_ANY_QUANTITY = re.compile(QUANTITY)
+_ANY_QUANTITY, _DIGIT = re.compile(QUANTITY), re.compile(r"\d")
 
 
 def languages(text: str | None) -> dict[str, int]:
     """Function words of each language in ``text``; scripts other than Latin count their letters."""
-    t = _ANY_QUANTITY.sub(" ", clean(text).lower())
-    found = {k: len(r.findall(t)) for k, r in _SCRIPT.items()}
-    found = {k: n for k, n in found.items() if n >= 2}
-    if "ja" in found:
-        found["ja"] += found.pop("zh", 0)
-    tokens = _ALPHA.findall(t)
-    for k, words in _WORDS.items():
-        n = sum(w in words for w in tokens)
-        if n:
-            found[k] = max(found.get(k, 0), n)
+    t = clean(text).lower()
+    if _DIGIT.search(t):
+        t = _ANY_QUANTITY.sub(" ", t)
+    found: dict[str, int] = {}
+    if not t.isascii():
+        found = {k: len(r.findall(t)) for k, r in _SCRIPT.items()}
+        found = {k: n for k, n in found.items() if n >= 2}
+        if "ja" in found:
+            found["ja"] += found.pop("zh", 0)
+    known: dict[str, int] = {}
+    for w in _ALPHA.findall(t):
+        for k in _SPOKEN.get(w, ()):
+            known[k] = known.get(k, 0) + 1
+    for k in LANGUAGE_WORDS:
+        if k in known:
+            found[k] = max(found.get(k, 0), known[k])
     return found
 
 
@@ -77,9 +86,10 @@ def language(text: str | None, least: int = 3) -> str | None:
 
     Words that are not function words of any known language make the text ``und``.
     """
-    tokens = _ALPHA.findall(clean(text).lower())
-    if len(_ALPHA.findall(clean(unwrap(text)[0]))) < 2 and not any(r.search(text or "") for r in _SCRIPT.values()):
+    foreign = bool(text) and not text.isascii() and any(r.search(text) for r in _SCRIPT.values())
+    if not foreign and len(_ALPHA.findall(clean(unwrap(text)[0]))) < 2:
         return None
+    tokens = _ALPHA.findall(clean(text).lower())
     found = languages(text)
     other = [k for k in found if k in _SCRIPT]
     if other:
