@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,6 +45,7 @@ REFUSALS = re.compile(
 )
 _ABRUPT = re.compile(r"(?:…|\.\.+|[,;:(\[{\-–—/*+=]|\b(?:and|or|of|to|by|in|for|from|the|a|an|is|was|with|between|approximately|about|then))$")
 _OPENERS = {"(": ")", "[": "]", "{": "}"}
+_BRACKETS = re.compile(r"[()\[\]{}]")
 _LEAD = re.compile(r"^[\s>\"'“”‘’*_#-]*(?:(?:you asked|question|q|final answer|the question (?:is|was)|answer)\s*[:.]\s*)?", re.I)
 
 
@@ -62,7 +64,7 @@ def is_empty(text: str | None) -> bool:
 def unclosed(text: str) -> bool:
     """A bracket, brace or JSON string is opened and never closed."""
     stack: list[str] = []
-    for ch in text:
+    for ch in _BRACKETS.findall(text):
         if ch in _OPENERS:
             stack.append(_OPENERS[ch])
         elif ch in _OPENERS.values() and stack and stack[-1] == ch:
@@ -70,10 +72,21 @@ def unclosed(text: str) -> bool:
     return bool(stack) or text.count("```") % 2 == 1
 
 
+@lru_cache(1 << 10)
+def _asked(question: str | None) -> tuple[str, ...]:
+    return tuple(words(question))
+
+
+@lru_cache(1 << 10)
+def _asked_in(question: str | None) -> str:
+    return language(question, 1) or "en"
+
+
 def copies_question(text: str, question: str | None) -> bool:
     """The reply is the question, complete or nearly, once or repeated, and nothing else."""
-    asked = words(question)
-    if len(asked) < 4:
+    asked = _asked(question)
+    # words have a letter and a blank each
+    if len(asked) < 4 or len(text) < 2 * COVERED * len(asked) - 1:
         return False
     lines = [_LEAD.sub("", part) for part in re.split(r"\n|(?<=[?.])\s+(?=final answer|question|q\b)", text.strip(), flags=re.I)]
     said = [w for part in lines for w in words(part)]
@@ -114,15 +127,15 @@ def defects(text: str | None, question: str | None, gold: str | None, reply: boo
     copied = copies_question(text, question)
     result = has_result(text)
     # of a copied question only what was added can be in another language
-    own = " ".join(w for w in words(text) if w not in set(words(question))) if copied else text
-    spoken = language(own)
-    wanted = language(question, 1) or "en"
+    asked_words = set(_asked(question)) if copied else ()
+    own = " ".join(w for w in words(text) if w not in asked_words) if copied else text
+    wanted = _asked_in(question)
+    # of a gold the language matters only where it is asked in another than English and gives no result
+    spoken = language(own) if reply or wanted != "en" and not result else None
     foreign = reply and spoken is not None and spoken != wanted
-    inner = clean(unwrap(text)[0]).lower().strip(" .!")
     abstains = is_abstention(low)
     # a copied question may hold such a phrase itself
-    phrases = [m[0] for m in REFUSALS.finditer(low) if not copied or m[0] not in asked]
-    declines = reply and not result and (bool(phrases) or abstains)
+    declines = reply and not result and (abstains or any(not copied or m[0] not in asked for m in REFUSALS.finditer(low)))
     no_answer = is_abstention(gold) or kind_of_text(question) in UNANSWERABLE
     if declines and no_answer and not copied:
         return []
@@ -132,7 +145,7 @@ def defects(text: str | None, question: str | None, gold: str | None, reply: boo
         broken = abrupt or unclosed(t) or not (declines or _FIGURE.search(t) or t[-1:] in ".!。")
     elif copied or declines:
         broken = open_ended or abrupt and not result
-    elif result or abstains or inner in ("yes", "no"):
+    elif result or abstains or clean(unwrap(text)[0]).lower().strip(" .!") in ("yes", "no"):
         broken = open_ended
     else:
         broken = open_ended or abrupt or wanted == "en" or spoken == "en" or not _FIGURE.search(t)
