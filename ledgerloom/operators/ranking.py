@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import small
+from ledgerloom.session import cut, small
 
 #: Hex digits of the bucket: 4096 buckets per group.
 PREFIX = 3
@@ -50,3 +50,12 @@ def label_by_rank(df: DataFrame, groups: list[str], key: str, tie: str, bounds:
     edge = joined.where("_split").withColumn(label, first(F.col("_before") + F.row_number().over(order)))
     out = [*df.columns, label]
     return whole.select(*out).union(edge.select(*out)).where(F.col(label).isNotNull())
+
+
+def row_numbers(df: DataFrame, order: str, out: str) -> DataFrame:
+    """``df`` with its place, from 0, in the order of a unique column; no task sees more than a range of it."""
+    ranged = cut(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return ranged.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + inside - 1).drop("_part", "_before")

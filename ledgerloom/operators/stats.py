@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import comb
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranking import row_numbers
+
 
 def rate(c: Column) -> Column:
     """Share of true values; 0 for no rows."""
@@ -26,20 +31,38 @@ def paired_counts(pairs: DataFrame, a: str, b: str, by: list[str] | None = None)
     )
 
 
+#: Terms of a binomial tail that are summed at a time; a sum ends when further terms no longer change it.
+CHUNK = 65_536
+
+
+def _log_tail(k: int, n: int) -> float:
+    """Logarithm of the sum of C(n, i) for i up to ``k`` (at most n / 2), from its largest term down."""
+    from math import lgamma, log
+
+    top = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    total, last, i = 1.0, 0.0, k
+    while i > 0:
+        # C(n, i - 1) / C(n, i) = i / (n - i + 1)
+        at = np.arange(i, max(i - CHUNK, 0), -1, dtype=np.float64)
+        logs = last + np.cumsum(np.log(at) - np.log(n - at + 1))
+        more = float(np.exp(logs).sum())
+        total, last, i = total + more, float(logs[-1]), i - len(at)
+        if more <= total * 1e-17 or last < -60:
+            break
+    return top + log(total)
+
+
 def _tail(extreme: pd.Series, total: pd.Series) -> pd.Series:
-    from math import log
+    from math import exp, log
 
     out = []
     for k, n in zip(extreme, total):
         if n == 0:
             out.append(1.0)
-            continue
-        i = np.arange(int(k) + 1)
-        # log C(n, i) by the recurrence of successive terms
-        steps = np.concatenate(([0.0], np.cumsum(np.log(np.arange(int(n), int(n) - int(k), -1)) - np.log(np.arange(1, int(k) + 1)))))
-        logs = steps[i] - n * log(2.0)
-        top = logs.max()
-        out.append(min(1.0, 2.0 * float(np.exp(top) * np.exp(logs - top).sum())))
+        elif n < 1000:
+            out.append(min(1.0, 2 * sum(comb(int(n), i) for i in range(int(k) + 1)) / 2 ** int(n)))
+        else:
+            out.append(min(1.0, exp(log(2.0) + _log_tail(int(k), int(n)) - n * log(2.0))))
     return pd.Series(out)
 
 
@@ -88,15 +111,13 @@ def bootstrap_ci(values: DataFrame, value: str, key: str, resamples: int = 2000,
         raise ValueError("confidence must lie between 0 and 1")
     if resamples <= 0:
         raise ValueError("resamples must be positive")
-    ranked = values.select(
-        (F.row_number().over(Window.orderBy(key)) - 1).alias("r"), F.col(value).cast("double").alias("v")
-    )
+    ranked = row_numbers(values.select(key, F.col(value).cast("double").alias("v")), key, "r").select("r", "v")
     total = values.agg(F.count("*").alias("n"))
     spark = values.sparkSession
     runs = spark.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(total)).where("n > 0")
     draws = runs.select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     spot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10)
-    counted = draws.withColumn("r", (spot.cast("long") % F.col("n")).cast("int")).groupBy("b", "r").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    counted = draws.withColumn("r", spot.cast("long") % F.col("n")).groupBy("b", "r").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     means = counted.join(ranked, "r").groupBy("b").agg((F.sum(F.col("v") * F.col("c")) / F.first("n")).alias("m"))
     low, high = _bounds(resamples, confidence)
     sorted_ = means.agg(F.array_sort(F.collect_list("m")).alias("s"))
@@ -104,8 +125,10 @@ def bootstrap_ci(values: DataFrame, value: str, key: str, resamples: int = 2000,
     return total.crossJoin(sorted_).select("n", pick(low).alias("low"), pick(high).alias("high"))
 
 
-def parity_ci(values: list[float], resamples: int = 2000, confidence: float = 0.95, seed: int = 13) -> tuple[float, float]:
-    """Percentile interval of the mean with Python's own generator, for small samples on the driver."""
+def parity_ci(
+    values: list, resamples: int = 2000, confidence: float = 0.95, seed: int = 13, statistic: Callable[[list], float] | None = None
+) -> tuple[float, float]:
+    """Percentile interval of a statistic (the mean) with Python's own generator, for small samples on the driver."""
     import random
 
     if not values:
@@ -116,11 +139,29 @@ def parity_ci(values: list[float], resamples: int = 2000, confidence: float = 0.
         raise ValueError("resamples must be positive")
     draw = random.Random(seed).randrange
     n = len(values)
-    means = sorted(sum(values[draw(n)] for _ in range(n)) / n for _ in range(resamples))
+    measure = statistic or (lambda v: sum(v) / len(v))
+    means = sorted(measure([values[draw(n)] for _ in range(n)]) for _ in range(resamples))
     low, high = _bounds(resamples, confidence)
     return means[low], means[high]
 
 
+def poisson_ci(values: DataFrame, value: str, key: str, resamples: int = 200, confidence: float = 0.95, seed: int = 13) -> DataFrame:
+    """One row (n, low, high): percentile interval of the mean by Poisson weights, in one pass over any number of rows.
+
+    Each row counts in resample b as often as a Poisson variable that its key, b and the seed
+    decide; only sums per resample are shuffled.
+    """
+    low, high = _bounds(resamples, confidence)
+    steps = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) for k in range(9)])
+    share = F.pmod(F.xxhash64(key, F.col("b"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    weight = sum((F.when(share >= float(s), 1).otherwise(0) for s in steps), F.lit(0))
+    runs = values.select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    sums = runs.withColumn("w", weight).groupBy("b").agg(F.sum("w").alias("w"), F.sum(F.col("v") * F.col("w")).alias("s"), F.count("*").alias("n"))
+    means = sums.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.try_divide("s", F.col("w").cast("double")))).alias("m"))
+    pick = lambda i: F.coalesce(F.get("m", F.lit(i)), F.lit(0.0))
+    return means.select("n", pick(low).alias("low"), pick(high).alias("high"))
+
+
 def binary_ci(n: Column, hits: Column, minus: Column | None = None, resamples: int = 2000, confidence: float = 0.95, seed: int = 13) -> Column:
     """Struct (low, high) of the bootstrap of a rate, drawn from its exact (multi)nomial distribution.
 

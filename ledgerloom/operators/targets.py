@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import exact_match, gold_text
@@ -10,6 +10,7 @@ from ledgerloom.functions.text import FORBIDDEN_IN_PROGRAM, lines, strip, text
 from ledgerloom.operators import programs
 from ledgerloom.operators.normalize import chat_messages
 from ledgerloom.operators.prompts import DEFAULT, PromptSet, user_prompt
+from ledgerloom.session import cut
 
 #: Invalid rows that a validation report lists.
 EXAMPLES = 20
@@ -130,13 +131,37 @@ def reasoning_targets(rows: DataFrame) -> DataFrame:
     )
 
 
+def _histogram(rows: DataFrame, items: Column, name: str) -> DataFrame:
+    """One row: a JSON object of how often each text of the arrays ``items`` occurs, counted by group before it is gathered."""
+    counts = rows.select(F.explode(items).alias("k")).where("k is not null").groupBy("k").count()
+    return counts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "count"))))).alias(name))
+
+
+def _examples(rows: DataFrame, key: str, errors: str, *more: str) -> DataFrame:
+    """One row: the first ``EXAMPLES`` rows with errors, as JSON."""
+    bad = rows.where(F.size(errors) > 0).select(F.col(key).cast("string").alias("id"), F.col(errors).alias("errors"), *more)
+    first = bad.orderBy("id").limit(EXAMPLES)
+    return first.agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "errors", *more)))).alias("invalid_examples"))
+
+
+def _beside(flags: DataFrame, *parts: DataFrame) -> DataFrame:
+    """One-row frames side by side."""
+    for p in parts:
+        flags = flags.crossJoin(F.broadcast(p))
+    return flags
+
+
+def _column(rows: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+
 def program_report(rows: DataFrame, column: str = "assistant_program", key: str = "id") -> DataFrame:
-    """One row: n, valid, invalid, the three rates, histograms as JSON and the first invalid rows.
+    """One row: n, valid, invalid, the three rates, five histograms as JSON and the first invalid rows.
 
-    Histograms are counted by group before they are gathered; only ``EXAMPLES`` invalid
-    rows are kept.
+    ``rows`` may have ``targeted_program_tags`` and ``targeted_selection_bucket``; without
+    them those histograms are empty.  Only ``EXAMPLES`` invalid rows are kept.
     """
-    checked = validate_programs(rows, column)
+    checked = cut(validate_programs(rows, column))
     flags = checked.agg(
         F.count("*").alias("n"),
         F.count_if(F.size("check.errors") == 0).alias("valid"),
@@ -148,20 +173,45 @@ def program_report(rows: DataFrame, column: str = "assistant_program", key: str
     histograms = {
         "by_subtype": F.array(F.coalesce(F.col("subtype"), F.lit("unknown"))),
         "operations": F.col("check.ops"),
+        "targeted_program_tags": _column(rows, "targeted_program_tags", "array<string>"),
+        "targeted_selection_buckets": F.array(_column(rows, "targeted_selection_bucket")),
         "errors": F.transform("check.errors", lambda e: F.substring_index(e, ":", 1)),
     }
-    out = flags
-    for name, items in histograms.items():
-        counts = checked.select(F.explode(items).alias("k")).groupBy("k").count()
-        packed = counts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "count"))))).alias(name))
-        out = out.crossJoin(F.broadcast(packed))
-    bad = checked.where(F.size("check.errors") > 0).select(F.col(key).cast("string").alias("id"), F.col("check.errors").alias("errors"))
-    first = bad.orderBy("id").limit(EXAMPLES).agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "errors")))).alias("invalid_examples"))
-    return out.crossJoin(F.broadcast(first))
+    listed = checked.withColumn("_errors", F.col("check.errors"))
+    return _beside(flags, *[_histogram(checked, c, name) for name, c in histograms.items()], _examples(listed, key, "_errors"))
+
+
+def source_report(rows: DataFrame, column: str = "assistant_source_program", key: str = "id") -> DataFrame:
+    """One row: n, valid, invalid, rates, histograms of classes, number counts, tags and buckets, the first invalid rows.
+
+    Rates of running and matching are those of rows whose embedded program is valid.
+    """
+    checked = cut(validate_source_targets(rows, column))
+    n = F.count("*")
+    good = F.size("check.errors") == 0
+    part = lambda c: F.coalesce(F.try_divide(F.count_if(good & c).cast("double"), F.count_if(good).cast("double")), F.lit(0.0))
+    flags = checked.agg(
+        n.alias("n"),
+        F.count_if(F.size("source_errors") == 0).alias("valid"),
+        F.count_if(F.size("source_errors") > 0).alias("invalid"),
+        F.coalesce(F.avg((~F.array_contains("source_errors", "not_one_line")).cast("double")), F.lit(0.0)).alias("json_one_line_rate"),
+        part(F.col("check.executable")).alias("program_executable_rate"),
+        part(F.col("check.matches_gold")).alias("program_gold_match_rate"),
+    )
+    histograms = {
+        "operation_classes": F.array(F.coalesce(F.nullif(F.col("target_class"), F.lit("")), F.lit("unknown"))),
+        "source_number_counts": F.array(F.col("target_numbers").cast("string")),
+        "source_program_tags": _column(rows, "source_program_tags", "array<string>"),
+        "source_program_selection_buckets": F.array(_column(rows, "source_program_selection_bucket")),
+    }
+    return _beside(flags, *[_histogram(checked, c, name) for name, c in histograms.items()], _examples(checked, key, "source_errors", column))
 
 
 def validate_source_targets(rows: DataFrame, column: str = "assistant_source_program") -> DataFrame:
-    """``rows`` with ``source_errors``: JSON shape, one line, embedded program, and agreement of its operands."""
+    """``rows`` with ``source_errors``: JSON shape, one line, embedded program, and agreement of its operands.
+
+    ``target_class`` and ``target_numbers`` (a count) come out of the target too.
+    """
     raw = strip(text(F.col(column)))
     schema = "source_numbers array<string>, constants array<string>, operation_class string, program string"
     parsed = F.from_json(raw, schema)
@@ -183,18 +233,20 @@ def validate_source_targets(rows: DataFrame, column: str = "assistant_source_pro
         error("source_numbers_do_not_match_program", numbers != want["source_numbers"]),
         error("constants_do_not_match_program", constants != want["constants"]),
     )
-    return checked.withColumn("source_errors", errors).drop("_raw", "_t", "_ok")
+    told = {"source_errors": errors, "target_class": F.col("_t.operation_class"), "target_numbers": F.size(numbers)}
+    return checked.withColumns(told).drop("_raw", "_t", "_ok")
 
 
 class ValidationGate(ValueError):
     """A validation report missed its thresholds."""
 
 
-def gate(report: DataFrame, max_errors: int = 0, min_match: float = 0.98) -> None:
-    """Raise :class:`ValidationGate` where a report has too many invalid rows or too few matches."""
-    r = report.first()
-    if r.invalid > max_errors or r.gold_match_rate < min_match:
-        raise ValidationGate(f"{r.invalid} invalid rows, match rate {r.gold_match_rate:.4f}")
+def gate(report: DataFrame, max_errors: int = 0, min_match: float | None = 0.98) -> None:
+    """Raise :class:`ValidationGate` where a report has too many invalid rows or too few matches (``None``: any)."""
+    r = report.first().asDict()
+    rate = r.get("gold_match_rate", r.get("program_gold_match_rate", 1.0))
+    if r["invalid"] > max_errors or min_match is not None and rate < min_match:
+        raise ValidationGate(f"{r['invalid']} invalid rows, match rate {rate:.4f}")
 
 
 def answer_chat(rows: DataFrame, system: str = DEFAULT.answer_system, prefix: str = "Final answer:") -> DataFrame:
@@ -252,15 +304,18 @@ def check_chat(chats: DataFrame, messages: str = "messages") -> DataFrame:
     return chats.withColumn("chat_errors", errors)
 
 
-def chat_report(chats: DataFrame, expected: int | None = None) -> DataFrame:
-    """One row: n, valid, invalid, and whether the count is the expected one."""
-    c = check_chat(chats)
+def chat_report(chats: DataFrame, expected: int | None = None, key: str | None = None) -> DataFrame:
+    """One row: n, valid, invalid, whether the count is the expected one, errors as a histogram, the first invalid records.
+
+    Examples are named by ``key``, or by the order of the records.
+    """
+    c = check_chat(chats if key else chats.withColumn("_order", F.monotonically_increasing_id()))
     n = F.count("*")
-    return c.agg(
+    flags = c.agg(
         n.alias("n"),
         F.count_if(F.size("chat_errors") == 0).alias("valid"),
         F.count_if(F.size("chat_errors") > 0).alias("invalid"),
         (F.lit(True) if expected is None else n == expected).alias("count_ok"),
     )
-
-
+    named = c.withColumn("_errors", F.col("chat_errors"))
+    return _beside(flags, _histogram(c, F.col("chat_errors"), "errors"), _examples(named, key or "_order", "_errors"))

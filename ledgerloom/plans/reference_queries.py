@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions.labels import category, split_name
+from ledgerloom.operators import builders
 from ledgerloom.operators import decontaminate as dec
 from ledgerloom.operators import evaluate as ev
 from ledgerloom.operators import generate as gen
@@ -17,8 +18,6 @@ from ledgerloom.operators import prompts, sampling, stats, targets
 from ledgerloom.session import spread, table
 
 RECORDS = "finqa_normalized_sample"
-#: Rows of the samples below; the mixes are the operators' defaults scaled to a tenth.
-TENTH = 10
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -75,8 +74,8 @@ def stratified_split_counts(spark, d):
 
 def quota_sample(spark, d):
     rows = _records(spark, d).select("row_id", category(F.col("subtype")).alias("kind"))
-    mix = {k.replace("_", ""): n // TENTH for k, n in sampling.CALCULATION_MIX.items()}
-    return sampling.quota_sample(rows, "kind", "row_id", mix, 60, strict=False).select("row_id", "bucket")
+    mix = {k.replace("_", ""): n for k, n in sampling.CALCULATION_MIX.items()}
+    return sampling.quota_sample(rows, "kind", "row_id", mix, 500, strict=False).select("row_id", "bucket")
 
 
 def _tagged(spark, d):
@@ -100,8 +99,8 @@ def tag_counts(spark, d):
 
 
 def targeted_bucket_sample(spark, d):
-    mix = {k: n // TENTH for k, n in sampling.TARGETED_MIX.items()}
-    return sampling.bucket_sample(_tagged(spark, d).select("row_id", "tags"), "tags", "row_id", mix, 220, strict=False).select("row_id", "bucket")
+    tagged = _tagged(spark, d).select("row_id", "tags")
+    return sampling.bucket_sample(tagged, "tags", "row_id", sampling.TARGETED_MIX, 2000, strict=False).select("row_id", "bucket")
 
 
 # records ------------------------------------------------------------------------
@@ -215,6 +214,23 @@ def calculator_errors(spark, d):
     return r.select("o_orderkey", "r.answer", F.substring_index("r.error", ":", 1).alias("error"))
 
 
+def table_programs(spark, d):
+    """The largest, smallest or summed quantity of each order, as a program over its lines."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("decimal(18,2)").cast("string")).alias("q"))
+    op = F.element_at(F.array(*[F.lit(x) for x in ("table_max(", "table_min(", "table_sum(")]), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    return lines.select("l_orderkey", prog.run_program(F.concat(op, F.array_join("q", ", "), F.lit(")")))["answer"].alias("answer"))
+
+
+def calculator_ops(spark, d):
+    """Powers, products, sums, comparisons and steps that refer to each other, over order keys."""
+    k, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 5
+    text = F.when(kind == 0, F.concat(F.lit("exp("), (F.col("o_orderkey") % 97).cast("string"), F.lit(", const_2)")))
+    text = text.when(kind == 1, F.concat(F.lit("multiply("), k, F.lit(", 3)"))).when(kind == 2, F.concat(F.lit("add("), k, F.lit(", 5)")))
+    text = text.when(kind == 3, F.concat(F.lit("greater("), k, F.lit(", 100)")))
+    text = text.otherwise(F.concat(F.lit("add("), k, F.lit(", const_1), multiply(#0, 2), subtract(#1, 7)")))
+    return table(spark, d, "orders").select("o_orderkey", prog.run_program(text)["answer"].alias("answer"))
+
+
 def program_checks(spark, d):
     c = targets.validate_programs(_records(spark, d).select("row_id", "subtype", "program", "gold"))
     return c.select("row_id", "check.executable", "check.matches_gold", F.array_join(F.transform("check.errors", lambda e: F.substring_index(e, ":", 1)), ",").alias("errors"))
@@ -249,6 +265,80 @@ def source_target_checks(spark, d):
     return c.select("row_id", F.array_join("source_errors", ",").alias("errors"))
 
 
+# training sets -----------------------------------------------------------------------
+
+
+def _sources(spark, d):
+    """Records under their row number, subtypes in the spelling of the mixes."""
+    kind = F.replace(category(F.col("subtype")), F.lit("multistep"), F.lit("multi_step"))
+    return _unique(_records(spark, d)).withColumn("subtype", kind)
+
+
+def _held_ids(spark, d):
+    """Ids of the evaluation rows, which training sets leave out."""
+    return _unique(_records(spark, d)).where(split_name(F.col("source_split")) != "train").select("id")
+
+
+def _chosen(rows, *more):
+    return rows.select(F.col("id").cast("long").alias("row_id"), "subtype", *more)
+
+
+def calculation_set(spark, d):
+    return _chosen(builders.calculation_set(_sources(spark, d), strict=False, key="row_id"), F.md5("assistant_target").alias("target_md5"))
+
+
+def reasoning_set(spark, d):
+    return _chosen(builders.reasoning_set(_sources(spark, d), strict=False, key="row_id"), "assistant_content")
+
+
+def program_set(spark, d):
+    return _chosen(builders.program_set(_sources(spark, d), exclude=_held_ids(spark, d), strict=False, key="row_id"), "assistant_program")
+
+
+def targeted_set(spark, d):
+    out = builders.targeted_set(_sources(spark, d), exclude=_held_ids(spark, d), strict=False, key="row_id")
+    return _chosen(out, F.col("targeted_selection_bucket").alias("bucket"))
+
+
+def source_set(spark, d):
+    out = builders.source_set(_sources(spark, d), exclude=_held_ids(spark, d), strict=False, key="row_id")
+    return _chosen(out, F.col("source_program_selection_bucket").alias("bucket"), "assistant_source_program")
+
+
+def targeted_report(spark, d):
+    built = targets.with_tags(targets.program_targets(_sources(spark, d)), "targeted_program_tags")
+    return targets.program_report(built.withColumn("targeted_selection_bucket", F.get("targeted_program_tags", F.lit(0))))
+
+
+def source_report(spark, d):
+    return targets.source_report(targets.source_targets(_sources(spark, d)))
+
+
+def _chat(chats):
+    m = F.col("messages")
+    return chats.select(F.col("id").cast("long").alias("row_id"), F.md5(m[1]["content"]).alias("user_md5"), m[2]["content"].alias("assistant"))
+
+
+def calculation_chat(spark, d):
+    return _chat(targets.calculation_chat(_unique(_records(spark, d))))
+
+
+def reasoning_chat(spark, d):
+    return _chat(targets.reasoning_chat(_unique(_records(spark, d))))
+
+
+def program_chat(spark, d):
+    return _chat(targets.program_chat(_unique(_records(spark, d)), True))
+
+
+def source_chat(spark, d):
+    return _chat(targets.source_chat(_unique(_records(spark, d)), True))
+
+
+def chat_report(spark, d):
+    return targets.chat_report(targets.answer_chat(_unique(_records(spark, d))), None, "id")
+
+
 # answers ----------------------------------------------------------------------------
 
 
@@ -281,6 +371,42 @@ def offline_gold(spark, d):
     return gen.generate(_unique(_records(spark, d)), "offline_gold").select(F.col("id").cast("long").alias("row_id"), "prediction")
 
 
+def offline_abstain(spark, d):
+    out = gen.generate(_unique(_records(spark, d)), "offline_abstain")
+    return out.select(F.col("id").cast("long").alias("row_id"), "prediction", "finish_reason")
+
+
+def model_errors(spark, d):
+    out = gen.model_error_row(_unique(_records(spark, d)), F.lit("timeout"), "http", "m")
+    return out.select(F.col("id").cast("long").alias("row_id"), "prediction", "finish_reason")
+
+
+def _asked(spark, d, source):
+    p = gen.planner_prompts(_records(spark, d), source, True)
+    return p.select("row_id", F.col("messages")[0]["content"].alias("system"), F.md5(F.col("messages")[1]["content"]).alias("user_md5"))
+
+
+def program_prompts(spark, d):
+    return _asked(spark, d, False)
+
+
+def source_prompts(spark, d):
+    return _asked(spark, d, True)
+
+
+def planned_programs(spark, d):
+    """Planner replies made of the gold programs: fenced, bare, broken or absent by turns."""
+    kind, program = F.col("row_id") % 4, F.coalesce("program", F.lit(""))
+    reply = F.when(kind == 0, F.concat(F.lit("Plan:\n```\n"), program, F.lit("\n```"))).when(kind == 1, program)
+    reply = reply.when(kind == 2, F.concat(F.lit("divide("), program, F.lit(", 0)"))).otherwise("I do not know.")
+    out = gen.plan_programs(_unique(_records(spark, d)), reply, "offline", "gold")
+    return out.select(F.col("id").cast("long").alias("row_id"), "predicted_program", "prediction", "finish_reason")
+
+
+def finish_reasons(spark, d):
+    return table(spark, d, "predictions").groupBy(F.coalesce("finish_reason", F.lit("(none)")).alias("finish_reason")).agg(F.count("*").alias("n"))
+
+
 def oracle_planner(spark, d):
     return gen.oracle_predictions(_unique(_records(spark, d))).select(F.col("id").cast("long").alias("row_id"), "prediction", "finish_reason")
 
@@ -407,5 +533,7 @@ _NAMES = """tokenize_count distinct_ngrams ngram_overlap_pairs decontaminate_doc
     calculation_targets reasoning_targets program_targets source_targets source_target_checks final_answer_extract format_violation
     abstention_flag normalize_text offline_first_number offline_gold oracle_planner numeric_match score_summary score_predictions
     score_predictions_summary compare_predictions failure_pack judge_offline answer_order paired_compare mcnemar cohen_kappa
-    bootstrap_ci resume_pending select_rows json_props""".split()
+    bootstrap_ci resume_pending select_rows json_props calculation_set reasoning_set program_set targeted_set source_set
+    targeted_report source_report calculation_chat reasoning_chat program_chat source_chat chat_report offline_abstain
+    model_errors program_prompts source_prompts planned_programs finish_reasons table_programs calculator_ops""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

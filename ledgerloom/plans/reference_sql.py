@@ -82,13 +82,13 @@ FROM (SELECT row_id, stratum, count(*) OVER (PARTITION BY stratum) AS n,
 ORACLE["stratified_split_members"] = f"SELECT row_id, split FROM ({_MEMBERS})"
 ORACLE["stratified_split_counts"] = f"SELECT stratum, split, count(*) AS n FROM ({_MEMBERS}) GROUP BY 1, 2"
 
-_QUOTAS = " ".join(f"WHEN '{k.replace('_', '')}' THEN {n // 10}" for k, n in CALCULATION_MIX.items())
+_QUOTAS = " ".join(f"WHEN '{k.replace('_', '')}' THEN {n}" for k, n in CALCULATION_MIX.items())
 ORACLE["quota_sample"] = f"""
 WITH k AS MATERIALIZED (SELECT row_id, {label('subtype')} AS kind, md5('13:' || row_id) AS key FROM {R}),
 first AS MATERIALIZED (SELECT row_id, kind AS bucket FROM (
   SELECT *, row_number() OVER (PARTITION BY kind ORDER BY key, row_id) AS r FROM k) WHERE r <= CASE kind {_QUOTAS} ELSE 0 END),
 rest AS (SELECT k.*, row_number() OVER (ORDER BY key, row_id) AS r FROM k WHERE row_id NOT IN (SELECT row_id FROM first))
-SELECT * FROM first UNION ALL SELECT row_id, 'fallback' FROM rest WHERE r <= 60 - (SELECT count(*) FROM first)
+SELECT * FROM first UNION ALL SELECT row_id, 'fallback' FROM rest WHERE r <= 500 - (SELECT count(*) FROM first)
 """
 
 _Q, _P = "coalesce(question, '')", "coalesce(program, '')"
@@ -140,10 +140,10 @@ FROM ({_TAGS})
 
 
 def _buckets() -> str:
-    parts, left = [], 220
+    parts, left = [], 2000
     names: list[str] = []
     for i, (tag, n) in enumerate(TARGETED_MIX.items()):
-        quota = min(n // 10, left)
+        quota = min(n, left)
         left -= quota
         seen = " AND ".join(f"row_id NOT IN (SELECT row_id FROM b{j})" for j in range(i)) or "true"
         parts.append(
@@ -156,7 +156,7 @@ def _buckets() -> str:
 WITH k AS MATERIALIZED (SELECT row_id, tags, md5('21:' || row_id) AS key FROM ({_TAGS})), {", ".join(parts)},
 taken AS MATERIALIZED ({union}),
 rest AS (SELECT row_id, row_number() OVER (ORDER BY key, row_id) AS r FROM k WHERE row_id NOT IN (SELECT row_id FROM taken))
-SELECT * FROM taken UNION ALL SELECT row_id, 'fallback' FROM rest WHERE r <= 220 - (SELECT count(*) FROM taken)
+SELECT * FROM taken UNION ALL SELECT row_id, 'fallback' FROM rest WHERE r <= 2000 - (SELECT count(*) FROM taken)
 """
 
 
@@ -239,6 +239,33 @@ FROM (SELECT row_id, {_list('evidence')} AS e FROM {R})
 """
 
 _TASK = DEFAULT.answer_task.replace("'", "''")
+
+
+def _prompt(task: str, tail: str = "") -> str:
+    """Digest of the user message with context, question and task."""
+    quoted = task.replace("'", "''")
+    return "md5(" + strip(f"'Context:' || chr(10) || {strip('context')} || chr(10) || chr(10) || 'Question: ' || {strip('question')} || chr(10) || chr(10) || '{quoted}'{tail}") + ")"
+
+
+for _name, _system, _task in (
+    ("program_prompts", DEFAULT.program_system, DEFAULT.program_task),
+    ("source_prompts", DEFAULT.source_system, DEFAULT.source_task),
+):
+    ORACLE[_name] = f"""
+SELECT row_id, '{_system.replace("'", "''")}' AS system, {_prompt(_task, " || chr(10) || chr(10) || '/no_think'")} AS user_md5 FROM {R}
+"""
+ORACLE["offline_abstain"] = f"SELECT row_id, 'Final answer: not enough information' AS prediction, 'offline_abstain' AS finish_reason FROM {R}"
+ORACLE["model_errors"] = f"SELECT row_id, 'Final answer: not enough information' AS prediction, 'model_error' AS finish_reason FROM {R}"
+ORACLE["finish_reasons"] = "SELECT coalesce(finish_reason, '(none)') AS finish_reason, count(*) AS n FROM predictions GROUP BY 1"
+ORACLE["table_programs"] = """
+SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN max(l_quantity::BIGINT)::VARCHAR WHEN 1 THEN min(l_quantity::BIGINT)::VARCHAR
+  ELSE sum(l_quantity::BIGINT)::VARCHAR END AS answer FROM lineitem GROUP BY l_orderkey
+"""
+ORACLE["calculator_ops"] = """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ((o_orderkey % 97)::BIGINT * (o_orderkey % 97)::BIGINT)::VARCHAR
+  WHEN 1 THEN (o_orderkey::BIGINT * 3)::VARCHAR WHEN 2 THEN (o_orderkey::BIGINT + 5)::VARCHAR
+  WHEN 3 THEN CASE WHEN o_orderkey > 100 THEN 'yes' ELSE 'no' END ELSE (((o_orderkey + 1) * 2 - 7)::BIGINT)::VARCHAR END AS answer FROM orders
+"""
 ORACLE["answer_prompts"] = f"""
 SELECT row_id, '{DEFAULT.answer_system.replace("'", "''")}' AS system,
   md5({strip(f"'Context:' || chr(10) || {strip('context')} || chr(10) || chr(10) || 'Question: ' || {strip('question')} || chr(10) || chr(10) || '{_TASK}' || CASE WHEN coalesce(program, '') <> '' THEN chr(10) || chr(10) || 'Reasoning program hint: ' || program ELSE '' END || chr(10) || chr(10) || '/no_think'")}) AS user_md5

@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators.evaluate import compare_runs, score_items, summarize
-from ledgerloom.sources.files import archive
+from ledgerloom.sources.files import archive, read_jsonl, with_order, write_text
 
 #: Failure-pack rows that the Markdown version shows.
 SHOWN = 30
 
 
+def run_spec(text: str) -> tuple[str, str]:
+    """(label, path) of ``label=path``."""
+    label, eq, path = text.partition("=")
+    if not eq or not label.strip() or not path.strip():
+        raise ValueError(f"label=path expected, not {text!r}")
+    return label.strip(), path.strip()
+
+
+def load_runs(spark: SparkSession, specs: list[str]) -> dict[str, DataFrame]:
+    """Prediction rows of each ``label=path``, with their order as ``_ord``; a label may be used once."""
+    runs: dict[str, DataFrame] = {}
+    for label, path in map(run_spec, specs):
+        if label in runs:
+            raise ValueError(f"label used twice: {label}")
+        runs[label] = with_order(read_jsonl(spark, path))
+    return runs
+
+
 def report_payload(runs: dict[str, DataFrame], order: str, baseline: str | None = None) -> dict:
     """Summaries of each run and its comparison with the baseline; runs map labels to prediction rows."""
     scored = {label: score_items(rows, keep=("id", order)) for label, rows in runs.items()}
@@ -61,9 +77,8 @@ def write_report(payload: dict, markdown: str, as_json: str | None = None, title
     """Both files, what was there archived first."""
     for path, text in ((markdown, render(payload, title)), (as_json, json.dumps(payload, indent=2, sort_keys=True, ensure_ascii=False))):
         if path:
-            Path(path).parent.mkdir(parents=True, exist_ok=True)
             archive(path)
-            Path(path).write_text(text + "\n" if not text.endswith("\n") else text, encoding="utf-8")
+            write_text(path, text if text.endswith("\n") else text + "\n")
 
 
 def render_pack(pack: DataFrame, old: str, new: str, shown: int = SHOWN) -> str:

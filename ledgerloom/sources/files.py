@@ -1,30 +1,71 @@
-"""JSON, JSON lines and CSV in and out, with archives of what is overwritten."""
+"""JSON, JSON lines and CSV in and out, with archives of what is overwritten.
+
+Paths go through the Hadoop file system of the session, so that they may lie on any
+store that Spark reads.
+"""
 
 from __future__ import annotations
 
 import os
-import shutil
 from collections.abc import Iterable
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.normalize import normalize_records
+from ledgerloom.session import cut
+
 ORDER = "_ord"
 
 
+def _file(path: str | Path, spark: SparkSession | None = None):
+    """(file system, path) of the session."""
+    spark = spark or SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(path: str | Path) -> bool:
+    fs, p = _file(path)
+    return bool(fs.exists(p))
+
+
+def write_text(path: str | Path, text: str) -> None:
+    """A small text file, in UTF-8; folders above it are made."""
+    fs, p = _file(path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON lines; blank lines are skipped, a malformed line fails the job when it is read."""
+    """JSON lines; blank lines are skipped, a malformed line fails the job when it is read.
+
+    :func:`require_jsonl` names the file and line of the first one.
+    """
     reader = spark.read.option("mode", "FAILFAST").option("primitivesAsString", schema is None)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line): the lines of a JSON-lines file that are no JSON object."""
-    raw = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
-    return raw.where((F.trim("line") != "") & F.try_parse_json("line").isNull())
+    """(path, number, line): the lines of JSON-lines files that are no JSON; numbers count from 1, one task reads a file."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("number", "line"))
+    return raw.where((F.trim("line") != "") & F.try_parse_json("line").isNull()).withColumn("number", F.col("number") + 1)
+
+
+def require_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """:func:`read_jsonl` after a check that raises ``ValueError`` with path and line of the first malformed line."""
+    bad = spark.read.text(path).where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+    if not bad.isEmpty():
+        first = malformed_lines(spark, path).orderBy("path", "number").first()
+        raise ValueError(f"{first.path}:{first.number}: no JSON: {first.line[:80]}")
+    return read_jsonl(spark, path, schema)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -57,26 +98,50 @@ def load(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return df if limit is None else df.orderBy(ORDER).limit(limit)
 
 
-def archive(path: str | Path, folder: str | Path | None = None, stamp: str | None = None) -> Path | None:
+def load_records(spark: SparkSession, path: str, source_split: str = "unknown", dataset: str = "finqa", limit: int | None = None) -> DataFrame:
+    """Normalized records of a file in order (``_ord``); the limit comes before normalization."""
+    return normalize_records(load(spark, path, limit), source_split, dataset, keep=(ORDER,))
+
+
+def archive(path: str | Path, folder: str | Path | None = None, stamp: str | None = None) -> str | None:
     """Copy a file, or a written data folder, to ``archive/<stem>.<stamp>[.n]<suffix>``; None where nothing exists."""
-    path = Path(path)
-    if not path.exists():
+    fs, p = _file(path)
+    if not fs.exists(p):
         return None
-    root = Path(folder) if folder else path.parent / "archive"
-    root.mkdir(parents=True, exist_ok=True)
+    spark = SparkSession.active()
+    name = p.getName()
+    stem, dot, suffix = name.rpartition(".")
+    stem, suffix = (stem, dot + suffix) if stem else (name, "")
+    root = str(folder) if folder else f"{p.getParent().toString()}/archive"
     stamp = stamp or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
+    to_fs, root_path = _file(root)
+    to_fs.mkdirs(root_path)
     for n in range(1_000_000):
-        to = root / (f"{path.stem}.{stamp}" + (f".{n}" if n else "") + path.suffix)
-        if not to.exists():
-            (shutil.copytree if path.is_dir() else shutil.copy2)(path, to)
-            return to
+        _, to = _file(f"{root}/{stem}.{stamp}" + (f".{n}" if n else "") + suffix)
+        if not to_fs.exists(to):
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to_fs, to, False, spark._jsc.hadoopConfiguration())
+            return to.toString()
     raise RuntimeError("no free archive name")
 
 
-def write_jsonl(df: DataFrame, path: str, keep_old: bool = False, files: int | None = None) -> Path | None:
-    """Columns in alphabetical order, nulls kept, non-ASCII text as it is; returns the archive of what was there."""
+def _sorted(c: Column, kind: T.DataType) -> Column:
+    """A value with the fields of its structs in alphabetical order, at any depth."""
+    if isinstance(kind, T.StructType):
+        fields = [_sorted(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(c, lambda x: _sorted(x, kind.elementType))
+    return c
+
+
+def _by_name(df: DataFrame) -> DataFrame:
+    return df.select(*[_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+
+
+def write_jsonl(df: DataFrame, path: str, keep_old: bool = False, files: int | None = None) -> str | None:
+    """Fields in alphabetical order at every depth, nulls kept, non-ASCII text as it is; returns the archive of what was there."""
     old = archive(path) if keep_old else None
-    out = df.select(*sorted(df.columns))
+    out = _by_name(df)
     if files:
         out = out.coalesce(files)
     out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -84,21 +149,27 @@ def write_jsonl(df: DataFrame, path: str, keep_old: bool = False, files: int | N
 
 
 def append_new(df: DataFrame, path: str, key: str = "id") -> int:
-    """Append the rows whose key the output lacks; returns how many.  Null keys are never seen as done."""
-    spark = df.sparkSession
-    if os.path.exists(path) and any(p.startswith("part-") for p in os.listdir(path)):
-        done = spark.read.json(path)
-        if key in done.columns:
+    """Append the rows whose key the output lacks; returns how many.  Null keys are never seen as done.
+
+    Rows are made once: they are written to the shared folder before they are counted and appended.
+    """
+    if exists(path):
+        try:
+            done = df.sparkSession.read.json(path)
+        except AnalysisException as e:  # an empty folder
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            done = None
+        if done is not None and key in done.columns:
             df = df.join(done.select(F.col(key).cast(df.schema[key].dataType).alias(key)).distinct(), key, "left_anti")
-    df = df.cache()
+    df = cut(df)
     n = df.count()
     if n:
-        df.select(*sorted(df.columns)).write.mode("append").option("ignoreNullFields", False).json(path)
-    df.unpersist()
+        _by_name(df).write.mode("append").option("ignoreNullFields", False).json(path)
     return n
 
 
-def write_csv(df: DataFrame, path: str, keep_old: bool = False) -> Path | None:
+def write_csv(df: DataFrame, path: str, keep_old: bool = False) -> str | None:
     old = archive(path) if keep_old else None
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return old
@@ -127,5 +198,3 @@ def first_env(keys: Iterable[str]) -> tuple[str | None, str | None]:
 def env_status(keys: Iterable[str]) -> dict[str, str]:
     """Whether each variable is set, never its value."""
     return {k: "present" if os.environ.get(k) else "missing" for k in keys}
-
-
