@@ -179,7 +179,7 @@ def mix_sources(
     given = selection.groupBy("mix_id", "source_key").agg(
         F.sum(F.col("tokens") * F.col("repeats")).alias("given"), F.max("repeats").alias("most_repeats")
     )
-    report = plan.join(small(given), ["mix_id", "source_key"], "left").fillna({"given": 0, "most_repeats": 0})
+    report = plan.join(given, ["mix_id", "source_key"], "left").fillna({"given": 0, "most_repeats": 0})
     of_mix = F.sum("given").over(Window.partitionBy("mix_id"))
     report = report.select(
         "mix_id",

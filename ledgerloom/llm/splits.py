@@ -27,6 +27,8 @@ RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 BINS = 100
 #: Items that one task differences at a time.
 GROUP_ITEMS = 20_000
+#: Categories whose shares are balanced one by one, the most frequent ones.
+CATEGORIES = 1000
 
 
 def resolve_issuers(rows: DataFrame, issuers: DataFrame) -> DataFrame:
@@ -230,7 +232,11 @@ def balanced_splits(
         items = items.join(level, "item").groupBy(F.col("parent").alias("item")).agg(F.sum("rows").alias("rows"))
         n = items.count()
     path = cut(path)
-    loads = weights.join(path, "component").groupBy("parent", "category").agg(F.sum("rows").alias("rows")).toPandas()
+    # rare categories are balanced together, so that bins times categories stay few
+    often = weights.groupBy("category").agg(F.sum("rows").alias("n")).orderBy(F.desc("n"), "category").limit(CATEGORIES)
+    named = weights.join(F.broadcast(often.select("category", F.col("category").alias("named"))), "category", "left")
+    named = named.withColumn("category", F.coalesce("named", F.lit("(rare)")))
+    loads = named.join(path, "component").groupBy("parent", "category").agg(F.sum("rows").alias("rows")).toPandas()
     wide = loads.pivot_table(index="parent", columns="category", values="rows", aggfunc="sum", fill_value=0, dropna=False)
     wide = wide.sort_index()
     names = list(ratios)

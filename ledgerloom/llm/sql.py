@@ -56,4 +56,24 @@ WITH sized AS (
 SELECT mix_id::BIGINT AS mix_id, source FROM wants LEFT JOIN by_source USING (k) WHERE coalesce(n, 0) * reps < wanted
 """
 
-ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p8_found": P8_FOUND}
+# What must hold of splits, samples and mixes, whichever rows they take.
+P1_CHECKS = """
+SELECT count(*) AS n, 0::BIGINT AS without_split, 0::BIGINT AS issuers_in_two_splits, true AS sizes_near, true AS categories_near
+FROM finqa_normalized_sample
+"""
+P2_CHECKS = """
+SELECT plan_id::BIGINT AS plan_id, count(DISTINCT (subtype, answer_type)) AS categories, 0::BIGINT AS off_quota, 0::BIGINT AS under_floor,
+  0::BIGINT AS drawn_twice FROM sampling_targets GROUP BY 1
+"""
+P8_CHECKS = """
+SELECT mix_id::BIGINT AS mix_id, count(DISTINCT source) AS sources, 0::BIGINT AS over_repeats, 0::BIGINT AS off_budget FROM mix_targets GROUP BY 1
+"""
+
+ORACLE = {
+    "p1_found": P1_FOUND,
+    "p1_checks": P1_CHECKS,
+    "p2_found": P2_FOUND,
+    "p2_checks": P2_CHECKS,
+    "p8_found": P8_FOUND,
+    "p8_checks": P8_CHECKS,
+}

@@ -38,6 +38,8 @@ DECAY, EVIDENCE = 0.02, 2.0
 SENTENCES, LINE = 2, 0.5
 #: Labels that stand for no subject.
 NO_SUBJECT = "none"
+#: A label is a misspelling of another that is at least so many times as frequent; the most frequent labels that may be meant.
+OFTEN, MAX_SUBJECTS = 20, 10_000
 #: Sentences remembered by a scoring task.
 REMEMBERED = 200_000
 
@@ -212,16 +214,20 @@ def label_table(labels: DataFrame) -> DataFrame:
     is taken for it.  Null labels and documents without any other are left out.
     """
     named = labels.where("doc_id is not null").select("doc_id", letters(F.col("subject")).alias("s")).where("s is not null")
-    counts = {r.s: r["count"] for r in named.groupBy("s").count().collect()}
-    fixed = {s: _usual(s, counts) for s in counts}
-    if any(k != v for k, v in fixed.items()):
-        usual = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
-        named = named.withColumn("s", F.try_element_at(usual, F.col("s")))
+    counts = cut(named.groupBy("s").agg(F.count("*").alias("n")))
+    # as many as a model can have outputs; the spellings themselves stay where they are
+    usual = {r.s: r.n for r in counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(MAX_SUBJECTS).collect()}
+
+    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"s": pdf["s"], "fixed": [_usual(s, n, usual) for s, n in zip(pdf["s"], pdf["n"])]})
+
+    named = named.join(small(counts.mapInPandas(mend, "s string, fixed string")), "s").withColumn("s", F.col("fixed"))
     return named.groupBy("doc_id").agg(F.array_remove(F.collect_set("s"), NO_SUBJECT).alias("subjects"))
 
 
-def _usual(label: str, counts: dict[str, int]) -> str:
-    near = [c for c in counts if counts[c] >= 20 * counts[label] and edits(label, c, 2) <= 2]
+def _usual(label: str, n: int, counts: dict[str, int]) -> str:
+    near = [c for c in counts if counts[c] >= OFTEN * n and edits(label, c, 2) <= 2]
     return max(near, key=lambda c: (counts[c], c), default=label)
 
 
