@@ -218,7 +218,7 @@ def parser() -> argparse.ArgumentParser:
 
     def add(name: str, run, *positional: str) -> argparse.ArgumentParser:
         p = commands.add_parser(name, help=(run.__doc__ or name).splitlines()[0])
-        p.set_defaults(run=run, code=0)
+        p.set_defaults(call=run, code=0)
         for x in positional:
             p.add_argument(x)
         return p
@@ -292,8 +292,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Run one command; the exit code is 1 where a validation fails its thresholds."""
     a = parser().parse_args(argv)
-    session = None if a.run is config_command else spark or build_session(os.environ.get("LEDGERLOOM_MASTER", "local[*]"))
-    out = a.run(session, a)
+    session = None if a.call is config_command else spark or build_session(os.environ.get("LEDGERLOOM_MASTER", "local[*]"))
+    out = a.call(session, a)
     print(json.dumps(out, sort_keys=True, default=str))
     return a.code
 

@@ -14,27 +14,28 @@ from ledgerloom.functions import program as lang
 from ledgerloom.functions.numbers import number_token_count
 from ledgerloom.functions.text import text
 
-RUN_TYPE = "answer string, trace string, ops array<string>, steps int, error string, supported boolean"
+RUN_TYPE = "answer string, trace string, ops array<string>, steps int, error string, supported boolean, outer array<string>"
 
 
 def _run_one(p: str | None) -> tuple:
     try:
         r = lang.execute(p)
     except (lang.ProgramError, DecimalException, OverflowError) as e:
-        return None, None, [], 0, str(e) or type(e).__name__, supported_sequence(p or "")
-    return r.answer, r.trace, [s.operation for s in r.steps], len(r.steps), None, supported_sequence(p)
+        return None, None, [], 0, str(e) or type(e).__name__, supported_sequence(p or ""), lang.operation_names(p)
+    return r.answer, r.trace, [s.operation for s in r.steps], len(r.steps), None, supported_sequence(p), lang.operation_names(p)
 
 
 def _run_batch(programs: pd.Series) -> pd.DataFrame:
     known = {p: _run_one(p) for p in programs.unique()}
     rows = [known[p] for p in programs]
-    return pd.DataFrame(rows, columns=["answer", "trace", "ops", "steps", "error", "supported"])
+    return pd.DataFrame(rows, columns=["answer", "trace", "ops", "steps", "error", "supported", "outer"])
 
 
 def run_program(c: Column) -> Column:
-    """Struct (answer, trace, ops, steps, error, supported) of each program.
+    """Struct (answer, trace, ops, steps, error, supported, outer) of each program.
 
-    A failing one has only ``error`` and ``supported`` (top-level calls of known operations).
+    A failing one has only ``error``, ``supported`` (top-level calls of known operations) and
+    ``outer`` (the operations of the outermost calls).
     """
     return F.pandas_udf(_run_batch, RUN_TYPE)(c)
 

@@ -10,7 +10,7 @@ from ledgerloom.functions.text import FORBIDDEN_IN_PROGRAM, lines, strip, text
 from ledgerloom.operators import programs
 from ledgerloom.operators.normalize import chat_messages
 from ledgerloom.operators.prompts import DEFAULT, PromptSet, user_prompt
-from ledgerloom.session import cut
+from ledgerloom.session import cut, pinned
 
 #: Invalid rows that a validation report lists.
 EXAMPLES = 20
@@ -32,7 +32,7 @@ def validate_programs(rows: DataFrame, column: str = "program") -> DataFrame:
     executable = (F.col("_program") != "") & run["error"].isNull()
     gold = strip(text(F.col("gold")))
     match = exact_match(run["answer"], gold)
-    outer = programs.program_ops(F.col("_program"))
+    outer = run["outer"]
     unknown = F.exists(outer, lambda o: ~o.isin(known))
     error = lambda name, cond: F.when(cond, F.lit(name) if isinstance(name, str) else name)
     errors = F.array_compact(
@@ -57,14 +57,19 @@ def validate_programs(rows: DataFrame, column: str = "program") -> DataFrame:
         (executable & (gold != "") & F.coalesce(match["is_match"], F.lit(False))).alias("matches_gold"),
         errors.alias("errors"),
     )
-    return base.withColumn("check", check).drop("_program", "_run")
+    return pinned(base, "check", check).drop("_program", "_run")
+
+
+def _others(rows: DataFrame, *made: str) -> list[str]:
+    """Columns of ``rows`` but those that are made anew, as rows may be targets already."""
+    return [f"`{c}`" for c in rows.columns if c not in made]
 
 
 def program_targets(rows: DataFrame) -> DataFrame:
     """Valid program rows with assistant_program, calculator_answer, calculator_trace, program_ops, program_step_count."""
     ok = validate_programs(rows).where(F.size("check.errors") == 0)
     return ok.select(
-        *rows.columns,
+        *_others(rows, "assistant_program", "calculator_answer", "calculator_trace", "program_ops", "program_step_count"),
         F.col("check.program").alias("assistant_program"),
         F.col("check.answer").alias("calculator_answer"),
         F.col("check.trace").alias("calculator_trace"),
@@ -84,7 +89,8 @@ def with_tags(rows: DataFrame, out: str = "tags") -> DataFrame:
         F.col("program_ops"),
         F.col("program_step_count"),
     )
-    return rows.withColumn(out, F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("general_program"))))
+    tagged = pinned(rows, out, tags)
+    return tagged.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.lit("general_program"))))
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
@@ -101,7 +107,8 @@ def source_targets(rows: DataFrame) -> DataFrame:
     target = F.to_json(
         F.struct("source_numbers", F.col("program_constants").alias("constants"), "operation_class", F.col("assistant_program").alias("program"))
     )
-    return base.withColumn("assistant_source_program", target).withColumnRenamed("_tags", "source_program_tags")
+    base = base.withColumn("assistant_source_program", target).drop("source_program_tags")
+    return base.withColumnRenamed("_tags", "source_program_tags")
 
 
 def calculation_targets(rows: DataFrame) -> DataFrame:
@@ -109,10 +116,11 @@ def calculation_targets(rows: DataFrame) -> DataFrame:
     c = rows.withColumn("_calc", programs.calculate(F.col("program"), F.col("gold"))).where("_calc.matches")
     c = c.withColumn("evidence_hint", programs.evidence_hint(F.col("evidence")))
     final = F.concat(F.lit("Final answer: "), gold_text(F.col("gold"), F.col("answer_type")))
-    c = c.select(*rows.columns, "evidence_hint", F.col("_calc.trace").alias("calculation"), F.col("_calc.result").alias("calculation_result"), final.alias("_final"))
+    kept = _others(rows, "evidence_hint", "calculation", "calculation_result", "assistant_target")
+    c = c.select(*kept, "evidence_hint", F.col("_calc.trace").alias("calculation"), F.col("_calc.result").alias("calculation_result"), final.alias("_final"))
     thought = F.concat(F.lit("Evidence: "), F.col("evidence_hint"), F.lit("\nCalculation: "), F.col("calculation"))
     return c.select(
-        *rows.columns,
+        *kept,
         "evidence_hint",
         "calculation",
         "calculation_result",
@@ -215,7 +223,8 @@ def validate_source_targets(rows: DataFrame, column: str = "assistant_source_pro
     raw = strip(text(F.col(column)))
     schema = "source_numbers array<string>, constants array<string>, operation_class string, program string"
     parsed = F.from_json(raw, schema)
-    base = rows.withColumn("_raw", raw).withColumn("_t", parsed).withColumn("_ok", F.is_valid_utf8(raw) & F.try_parse_json(raw).isNotNull())
+    read = F.struct(raw.alias("raw"), parsed.alias("t"), (F.is_valid_utf8(raw) & F.try_parse_json(raw).isNotNull()).alias("ok"))
+    base = pinned(rows, "_read", read).withColumns({"_raw": F.col("_read.raw"), "_t": F.col("_read.t"), "_ok": F.col("_read.ok")}).drop("_read")
     base = base.withColumn("assistant_program", strip(text(F.col("_t.program"))))
     checked = validate_programs(base, "assistant_program")
     want = programs.operand_lists(F.col("assistant_program"))

@@ -84,6 +84,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and total <= size else df
 
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, which is evaluated once per row however often later expressions use it.
+
+    The optimizer writes a projected expression into each of its uses; it does not look
+    through a generator, here one of a single element.
+    """
+    return df.select(*[f"`{c}`" for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer splits than cores over all cores; any larger scan is left as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
