@@ -26,7 +26,9 @@ def _file(path: str | Path, spark: SparkSession | None = None):
     """(file system, path) of the session."""
     spark = spark or SparkSession.active()
     p = spark._jvm.org.apache.hadoop.fs.Path(str(path))
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    # the plain local file system leaves no checksum files beside what it writes
+    return (fs.getRawFileSystem() if fs.getScheme() == "file" else fs), p
 
 
 def exists(path: str | Path) -> bool:
