@@ -37,7 +37,7 @@ def p1_checks(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce(F.bool_and(F.abs(F.col("split_share") - F.try_element_at(goal, F.col("split"))) <= 0.02), F.lit(True)).alias("sizes_near"),
         F.coalesce(F.bool_and(F.abs(F.col("category_share") - F.col("target_share")) <= 0.05), F.lit(True)).alias("categories_near"),
     )
-    total = rows.agg(F.count("*").alias("n"), F.count_if("split is null").alias("without_split"))
+    total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("split").isNull()).alias("without_split"))
     return total.crossJoin(split_rows).crossJoin(near)
 
 
