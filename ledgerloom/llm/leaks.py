@@ -30,10 +30,10 @@ from ledgerloom.session import cut
 
 #: Words of a passage that a document must carry over.
 RUN_WORDS = 25
-#: Words that must agree verbatim for a place to be looked at; where a stretch of them is in so many places of a
-#: shard and of the passages that the pairs exceed ``HOT``, words of the longer seed.  A run of 25 words
-#: in one piece of which 90 % agree has 8 words verbatim.
-SEED_WORDS, LONG_SEED, HOT = 6, 8, 1 << 20
+#: Words that must agree verbatim for a place to be looked at.  Where a stretch of them is in so many places of a
+#: shard and of the passages that the pairs exceed ``HOT``, its places are listed only beside other seeds of the
+#: same document and passage; alone they carry less than ``LEAST_SEEDED`` words, so nothing found depends on it.
+SEED_WORDS, HOT = 6, 1 << 20
 #: Rounds of prefix doubling: suffixes are sorted by 2 ** rounds words; longer agreement is found by extension.
 DEPTH_ROUNDS = 5
 #: Words per shard; a longer document gets a shard of its own.
@@ -113,6 +113,7 @@ def suffix_array(ranks: np.ndarray, rounds: int = DEPTH_ROUNDS) -> np.ndarray:
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
 def _mixed(columns) -> np.ndarray:
@@ -253,7 +254,10 @@ class Shard:
         return lower, np.where(there, upper, lower)
 
     def occurrences(self, passages: Passages, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(passage position, shard position, document) of verbatim matches from ``places``, whole passages at a time."""
+        """(passage position, shard position, document) of verbatim matches from ``places``, whole passages at a time.
+
+        Those of every passage and document that share ``LEAST_SEEDED`` words under seeds are complete.
+        """
         query = self.ranks_of(passages.words)
         places = places[query[places] > 0]
         if not len(places):
@@ -266,29 +270,43 @@ class Shard:
         # places with the same stretch have the same range
         _, same, n = np.unique(lower, return_inverse=True, return_counts=True)
         hot = n[same] * (upper - lower) > HOT
-        if hot.any():
-            end = passages.starts[1:][passages.items()[places]]
-            able = hot & (places + LONG_SEED <= end)
-            lower[able], upper[able] = self.search(query, places[able], LONG_SEED)
-            keep = (upper > lower) & ~(hot & ~able)
-            places, lower, upper = places[keep], lower[keep], upper[keep]
-        count = upper - lower
+        hot_seeds = _HotSeeds(self, lower[hot], upper[hot]) if hot.any() else None
+        count = np.where(hot, 0, upper - lower)
         item = passages.items()[places]
-        first = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1]))) if len(item) else np.zeros(0, dtype=np.int64)
+        first = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
+        ends = np.append(first[1:], len(places))
         upto = np.concatenate(([0], np.cumsum(count)))
         a = 0
         while a < len(first):
             limit = upto[first[a]] + HELD
-            ends = np.append(first[a + 1 :], len(places))
-            b = a + max(1, int(np.searchsorted(upto[ends], limit, side="right")))
-            i, j = first[a], first[b] if b < len(first) else len(places)
-            c = count[i:j]
-            p = np.repeat(places[i:j], c)
-            offset = np.arange(len(p)) - np.repeat(np.cumsum(c) - c, c)
-            t = self.sa[np.repeat(lower[i:j], c) + offset].astype(np.int64)
-            yield p, t, np.searchsorted(self.starts, t, side="right") - 1
+            b = max(a + 1, int(np.searchsorted(upto[ends], limit, side="right")))
+            i, j = first[a], ends[b - 1]
+            p = np.repeat(places[i:j], count[i:j])
+            t = self.sa[_ranges(lower[i:j], count[i:j])].astype(np.int64)
+            doc = self.documents(t)
+            if not hot[i:j].any():
+                yield p, t, doc
+            else:
+                parts, size = [], 0
+                for x, y in zip(first[a:b], ends[a:b]):
+                    u, v = upto[x] - upto[i], upto[y] - upto[i]
+                    part = [(p[u:v], t[u:v], doc[u:v])]
+                    if hot[x:y].any():
+                        at = np.flatnonzero(hot[x:y]) + x
+                        part.append(hot_seeds.beside(places[at], lower[at], np.unique(doc[u:v])))
+                    more = sum(len(q[0]) for q in part)
+                    if parts and size + more > HELD:
+                        yield tuple(np.concatenate(q) for q in zip(*parts))
+                        parts, size = [], 0
+                    parts += part
+                    size += more
+                yield tuple(np.concatenate(q) for q in zip(*parts))
             a = b
 
+    def documents(self, t: np.ndarray) -> np.ndarray:
+        """The document of each shard position."""
+        return np.searchsorted(self.starts, t, side="right") - 1
+
     def around(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of ``AROUND`` words from each place, whether they lie in [first, last))."""
         inside = (at >= first) & (at + AROUND <= last)
@@ -297,7 +315,54 @@ class Shard:
         return _mixed(words).view(np.int64), inside
 
 
-_EVIDENCE = "stretch long, first long, last long, copies long, near_left long, far_left long, near_right long, far_right long"
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` whole numbers from each ``start`` on."""
+    return np.arange(int(count.sum())) + np.repeat(start - np.cumsum(count) + count, count)
+
+
+class _HotSeeds:
+    """Places of stretches that are too frequent in a shard and the passages to list every pair, by document."""
+
+    def __init__(self, shard: Shard, lower: np.ndarray, upper: np.ndarray) -> None:
+        self.lower, at = np.unique(lower, return_index=True)
+        count = upper[at] - self.lower
+        t = shard.sa[_ranges(self.lower, count)].astype(np.int64)
+        self.width = np.int64(len(shard.starts))
+        key = np.repeat(np.arange(len(count)), count) * self.width + shard.documents(t)
+        order = np.lexsort((t, key))
+        self.keys, self.t = key[order], t[order]
+        docs = np.unique(key)
+        self.docs = np.split(docs % self.width, np.searchsorted(docs, np.arange(1, len(count)) * self.width))
+        self.known: dict[tuple[bytes, bytes], np.ndarray] = {}
+
+    def _enough(self, seed: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Documents that have ``LEAST_SEEDED`` words of a passage under its hot seeds alone."""
+        step = np.minimum(np.diff(places), SEED_WORDS)
+        if SEED_WORDS + step.sum() < LEAST_SEEDED:
+            return np.zeros(0, dtype=np.int64)
+        name = seed.tobytes(), step.tobytes()
+        if name not in self.known:
+            if len(self.known) * self.width > HELD:
+                self.known.clear()
+            last, covered = np.full(self.width, -SEED_WORDS), np.zeros(self.width, dtype=np.int64)
+            for s, p in zip(seed, np.concatenate(([0], np.cumsum(step)))):
+                docs = self.docs[s]
+                covered[docs] += np.minimum(p - last[docs], SEED_WORDS)
+                last[docs] = p
+            self.known[name] = np.flatnonzero(covered >= LEAST_SEEDED)
+        return self.known[name]
+
+    def beside(self, places: np.ndarray, lower: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences of the hot ``places`` of one passage in ``docs``, where other seeds of it are, and where they suffice alone."""
+        seed = np.searchsorted(self.lower, lower)
+        docs = np.union1d(docs, self._enough(seed, places))
+        wanted = (seed[:, None] * self.width + docs).ravel()
+        start = np.searchsorted(self.keys, wanted, side="left")
+        count = np.searchsorted(self.keys, wanted, side="right") - start
+        return np.repeat(np.repeat(places, len(docs)), count), self.t[_ranges(start, count)], np.repeat(np.tile(docs, len(seed)), count)
+
+
+_EVIDENCE = "stretch long, first long, last long, doc long, start long, place long, copies long, near_left long, far_left long, near_right long, far_right long"
 
 
 def _evidence_pass(block, excerpts: bool):
@@ -309,10 +374,9 @@ def _evidence_pass(block, excerpts: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages: Passages = block.value
         places, item_of = passages.window_starts(SEED_WORDS), passages.items()
-        # a stretch is named by the sum of its words' hashes, each times a power: equal in all passages that hold it
-        power = np.cumprod(np.append(np.uint64(1), np.full(len(passages.words), _STEP)), dtype=np.uint64)
+        # a stretch is named by the sum of its words' hashes, each times a power: equal in all passages and blocks that hold it
+        power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(passages.words), x)), dtype=np.uint64) for x in (_STEP, _STEP_BACK))
         upto = np.append(np.uint64(0), np.cumsum(passages.words * power[:-1], dtype=np.uint64))
-        back = power[::-1]
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 shard = Shard(row)
@@ -334,11 +398,14 @@ def _evidence_pass(block, excerpts: bool):
                     alone = (left | right) & (e - s >= STANDARD_WORDS)
                     s, e, a, b, ds, de, d = (x[alone] for x in (s, e, a, b, ds, de, doc[i]))
                     name = ((upto[e] - upto[s]) * back[s]).view(np.int64)
-                    # a document speaks once for a stretch; every place of it in the passages is kept
+                    # a document speaks once for a stretch, by its first place; every place of it in the passages is kept
+                    order = np.argsort(a, kind="stable")
+                    s, e, a, b, ds, de, d, name = (x[order] for x in (s, e, a, b, ds, de, d, name))
                     told = pd.DataFrame({"stretch": name, "d": d}).duplicated().to_numpy()
                     again = told & ~pd.DataFrame({"stretch": name, "s": s, "e": e}).duplicated().to_numpy()
                     keep = ~told | again
-                    out = {"stretch": name[keep], "first": s[keep], "last": e[keep], "copies": np.where(told[keep], 0, shard.copies[d[keep]])}
+                    out = {"stretch": name[keep], "first": s[keep], "last": e[keep], "doc": [shard.ids[x][0] for x in d[keep]], "start": ds[keep], "place": a[keep]}
+                    out["copies"] = np.where(told[keep], 0, shard.copies[d[keep]])
                     for column, at in (
                         ("near_left", a - AROUND),
                         ("far_left", a - 2 * AROUND - 1),
@@ -367,24 +434,38 @@ def _surroundings(a: str, b: str, unless: str | None = None) -> Column:
 
 
 def _alone(evidence: DataFrame) -> DataFrame:
-    """(stretch, docs, around): how many rows carry each stretch alone, and in how many different surroundings."""
+    """(stretch, docs, around): how many rows carry each stretch alone, and in how many different surroundings.
+
+    A text that tells of a stretch in several blocks of passages is counted once, by its first place.
+    """
     left, right = ("near_left", "far_left"), ("near_right", "far_right")
     around = F.greatest(
         _surroundings(*left) + _surroundings(*right, "far_left"),
         _surroundings(*right) + _surroundings(*left, "far_right"),
         _surroundings("far_left", "far_right"),
     )
-    return evidence.groupBy("stretch").agg(F.sum("copies").alias("docs"), around.alias("around"))
+    said = F.min_by(F.struct("copies", *left, *right), "place").alias("said")
+    once = evidence.where("copies > 0").groupBy("stretch", "doc", "start").agg(said).select("stretch", "said.*")
+    return once.groupBy("stretch").agg(F.sum("copies").alias("docs"), around.alias("around"))
 
 
-def standard_words(index: DataFrame, others: DataFrame, block, total: int) -> np.ndarray:
-    """True for each word of a block of passages that lies in standard wording; ``others`` is the index of all passages."""
-    found = cut(index.mapInPandas(_evidence_pass(block, False), _EVIDENCE))
-    often = _alone(found).where(F.col("docs") > STANDARD_SHARE * total)
-    seen = _alone(others.mapInPandas(_evidence_pass(block, True), _EVIDENCE)).select("stretch", F.col("around").alias("seen"))
+def _union(frames: list[DataFrame]) -> DataFrame:
+    while len(frames) > 1:
+        frames = [a.union(b) for a, b in zip(frames[::2], frames[1::2])] + frames[len(frames) & ~1 :]
+    return frames[0]
+
+
+def standard_stretches(found: list[DataFrame], seen: list[DataFrame], total: int) -> DataFrame:
+    """(stretch): standard wording by the evidence of all blocks of passages, from the documents and from all passages."""
+    often = _alone(_union(found)).where(F.col("docs") > STANDARD_SHARE * total)
+    others = _alone(_union(seen)).select("stretch", F.col("around").alias("seen"))
     many = (F.col("around") > STANDARD_DOCS) | (F.coalesce("seen", F.lit(0)) > STANDARD_PASSAGES)
-    standard = often.join(seen, "stretch", "left").where(many)
-    out = np.zeros(len(block.value.words), dtype=bool)
+    return cut(often.join(others, "stretch", "left").where(many).select("stretch"))
+
+
+def standard_words(found: DataFrame, standard: DataFrame, words: int) -> np.ndarray:
+    """True for each word of a block of passages that lies in standard wording; ``found`` is the block's evidence."""
+    out = np.zeros(words, dtype=bool)
     # as many rows as the block has words, times the few stretches that a share of the corpus can hold
     for r in found.select("stretch", "first", "last").distinct().join(standard, "stretch").select("first", "last").toLocalIterator():
         out[r["first"] : r["last"]] = True
@@ -447,6 +528,21 @@ def carried_words(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, coun
     return best
 
 
+def _agreeing(words: np.ndarray, ranks: np.ndarray, first: np.ndarray, last: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Passage words from each ``first`` to ``last`` that agree with the shard on a diagonal."""
+    n = np.maximum(last - first, 0)
+    upto = np.concatenate(([0], np.cumsum(n)))
+    out = np.zeros(len(n), dtype=np.int64)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + HELD, side="right")) - 1)
+        at = _ranges(first[a:b], n[a:b])
+        same = np.concatenate(([0], np.cumsum(words[at] == ranks[at + np.repeat(diagonal[a:b], n[a:b])])))
+        out[a:b] = same[upto[a + 1 : b + 1] - upto[a]] - same[upto[a:b] - upto[a]]
+        a = b
+    return out
+
+
 def _match_pass(block, flags, run_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages, standard = block.value, flags.value
@@ -468,7 +564,19 @@ def _match_pass(block, flags, run_words: int):
                     step[first] = SEED_WORDS
                     covered = np.add.reduceat(step, first)
                     last = np.append(first[1:], len(pair))
-                    for a, b in zip(first[covered >= LEAST_SEEDED], last[covered >= LEAST_SEEDED]):
+                    seeded = np.flatnonzero(covered >= LEAST_SEEDED)
+                    # no run has more agreeing words than all diagonals of its pair together
+                    at = _ranges(first[seeded], (last - first)[seeded])
+                    nth, line = np.repeat(np.arange(len(seeded)), (last - first)[seeded]), t[at] - p[at]
+                    order = np.lexsort((line, nth))
+                    nth, line = nth[order], line[order]
+                    new = (np.diff(nth, prepend=-1) != 0) | (np.diff(line, prepend=0) != 0)
+                    nth, line = nth[new], line[new]
+                    dd, ii = np.divmod(pair[first[seeded]][nth], len(passages.ids))
+                    lo, hi = np.maximum(passages.starts[ii], shard.starts[dd] - line), np.minimum(passages.starts[ii + 1], shard.ends[dd] - line)
+                    agreeing = np.bincount(nth, _agreeing(words, shard.ranks, lo, hi, line), len(seeded))
+                    able = seeded[agreeing >= AGREE * run_words]
+                    for a, b in zip(first[able], last[able]):
                         dd, ii = divmod(int(pair[a]), len(passages.ids))
                         s, e = int(passages.starts[ii]), int(passages.starts[ii + 1])
                         ds, de = int(shard.starts[dd]), int(shard.ends[dd])
@@ -522,7 +630,7 @@ def leaked_passages(
     ``run_words`` cannot leak; every copy of a document is reported under its own doc_id,
     every copy of a passage under its own item_id (copies are searched once).  The passages
     are the query set: they pass in blocks of bounded size, the corpus never leaves its
-    shards.  A stretch that more than ``STANDARD_SHARE`` of all documents carry alone, more
+    shards; the sizes of both change nothing in the result.  A stretch that more than ``STANDARD_SHARE`` of all documents carry alone, more
     than ``STANDARD_DOCS`` of them or ``STANDARD_PASSAGES`` passages in different
     surroundings, is standard wording and counts for nothing.
     """
@@ -534,10 +642,18 @@ def leaked_passages(
     )
     once = cut(named.groupBy("k1", "k2").agg(F.min("item_id").alias("item"), F.min("passage").alias("passage")))
     others = suffix_index(once.select(F.col("item").alias("doc_id"), F.col("passage").alias("text")), shard_words)
-    found = spark.createDataFrame([], _FOUND)
+    # what is standard wording is told by all blocks, before any is matched
+    told, seen = [], []
     for passages in _blocks(once.select("item", "passage"), block_words):
         block = spark.sparkContext.broadcast(passages)
-        flags = spark.sparkContext.broadcast(standard_words(index, others, block, total))
+        told.append(cut(index.mapInPandas(_evidence_pass(block, False), _EVIDENCE)))
+        seen.append(cut(others.mapInPandas(_evidence_pass(block, True), _EVIDENCE)))
+        block.destroy()
+    found = spark.createDataFrame([], _FOUND)
+    standard = standard_stretches(told, seen, total) if told else None
+    for evidence, passages in zip(told, _blocks(once.select("item", "passage"), block_words)):
+        block = spark.sparkContext.broadcast(passages)
+        flags = spark.sparkContext.broadcast(standard_words(evidence, standard, len(passages.words)))
         found = found.union(cut(index.mapInPandas(_match_pass(block, flags, run_words), _FOUND)))
         block.destroy()
         flags.destroy()

@@ -170,3 +170,86 @@ def test_search_is_that_of_a_scan():
         for p, lo, up in zip(places, lower, upper):
             want = [t for t in range(len(shard.ranks) - m + 1) if list(shard.ranks[t : t + m]) == list(query[p : p + m])]
             assert sorted(shard.sa[lo:up]) == want
+
+
+def sent(value):
+    return type("Sent", (), {"value": value})()
+
+
+def matches(docs, passages, shard_words=10**6, items_at_a_time=10**6):
+    """(doc, item) pairs of the match pass, for texts as lists of words."""
+    rows = pd.concat(leaks._shards(shard_words)(iter([pd.DataFrame({"doc_id": range(len(docs)), "text": [" ".join(d) for d in docs]})])))
+    hashed, out = leaks._Hasher(), set()
+    for i in range(0, len(passages), items_at_a_time):
+        ids = list(range(len(passages)))[i : i + items_at_a_time]
+        block = leaks._passages(ids, [hashed(" ".join(passages[k])) for k in ids])
+        got = pd.concat(leaks._match_pass(sent(block), sent(np.zeros(len(block.words), bool)), 25)(iter([rows])))
+        out |= {(r.doc_id, r.item) for r in got.itertuples()}
+    return out
+
+
+def test_leaks_do_not_depend_on_how_often_a_seed_is():
+    """Runs of which one piece, or every piece, has no other seed than one in over a million pairs of a shard."""
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    hot = ["for the year ended december 31".split(), "in millions except per share data".split(), "see notes to consolidated financial statements".split()]
+    passages = [word(15) + hot[0] + word(1) + hot[1] + word(1) + hot[2] + word(15) for _ in range(1100)]
+    docs = [word(9) + hot[i % 3] + word(9) + (hot[(i + 1) % 3] if i < 100 else []) for i in range(3300)]
+    # 13 words and, after an insertion, one hot seed between changed words
+    p = passages[3]
+    docs[5] = word(9) + p[2:15] + word(40) + p[15:21] + word(1) + p[22:27] + word(9)
+    # three hot seeds, a word changed between two of them and an insertion before the third
+    p = passages[8]
+    docs[6] = word(9) + p[10:15] + p[15:21] + word(1) + p[22:28] + word(30) + p[28:35] + word(9)
+    # three hot seeds alone
+    p = passages[9]
+    docs[7] = word(9) + p[15:21] + word(1) + p[22:28] + word(30) + p[29:35] + word(1) + p[36:41] + word(9)
+    want = {(5, 3), (6, 8), (7, 9)}
+    small = matches(docs, passages, shard_words=3000, items_at_a_time=100)
+    assert want <= small
+    assert matches(docs, passages) == small
+
+
+def test_hot_seeds_are_complete_beside_others(monkeypatch):
+    """Every pair with enough words under seeds has the same occurrences whatever counts as hot, and however many are held."""
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 2, n))
+    docs = [text(n) for n in rng.integers(5, 40, 60)]
+    row = next(pd.concat(leaks._shards(10**6)(iter([pd.DataFrame({"doc_id": range(60), "text": docs})]))).itertuples(index=False))
+    shard, hashed = leaks.Shard(row), leaks._Hasher()
+    block = leaks._passages(list(range(30)), [hashed(text(n)) for n in rng.integers(4, 30, 30)])
+
+    def pairs():
+        out = {}
+        for p, t, doc in shard.occurrences(block, block.window_starts(leaks.SEED_WORDS)):
+            assert len(p) == len(t) == len(doc)
+            now = {}
+            for x in zip(doc.tolist(), block.items()[p].tolist(), p.tolist(), t.tolist()):
+                now.setdefault(x[:2], []).append(x[2:])
+            assert not now.keys() & out.keys()
+            out |= now
+        assert all(len(v) == len(set(v)) for v in out.values())
+        seeded = lambda v: len({i + k for i, _ in v for k in range(leaks.SEED_WORDS)})
+        return {k: sorted(v) for k, v in out.items() if seeded(v) >= leaks.LEAST_SEEDED}
+
+    want = pairs()
+    assert len(want) > 100
+    for hot, held in ((0, leaks.HELD), (20, leaks.HELD), (40, leaks.HELD), (0, 10), (20, 10)):
+        monkeypatch.setattr(leaks, "HOT", hot)
+        monkeypatch.setattr(leaks, "HELD", held)
+        assert pairs() == want
+
+
+def test_standard_wording_is_told_by_all_blocks_of_passages(spark, monkeypatch):
+    """30 documents with a stretch and 30 with more of one passage around it: for the other passage 60 have it alone."""
+    rng = random.Random(12)
+    standard = sentence(rng, 30)
+    items = [(i, "test", sentence(rng, 40) + " " + standard + " " + sentence(rng, 40)) for i in range(2)]
+    longer = " ".join(items[0][2].split()[10:70])
+    docs = [(i, sentence(rng, 60) + " " + (standard if i < 30 else longer if i < 60 else "") + " " + sentence(rng, 60)) for i in range(300)]
+    want = {(i, 0) for i in range(30, 60)}
+    assert found(spark, docs, items) == want
+    assert found(spark, docs, items, block_words=100) == want
+    assert found(spark, docs, items, shard_words=2000) == want
+    monkeypatch.setattr(leaks, "HELD", 500)
+    assert found(spark, docs, items, shard_words=2000, block_words=100) == want
