@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.ranking import row_numbers
+from ledgerloom.session import cut, small
 
 
 def rate(c: Column) -> Column:
@@ -104,25 +105,25 @@ def bootstrap_ci(values: DataFrame, value: str, key: str, resamples: int = 2000,
     """One row (n, low, high): percentile interval of the mean by hash-indexed resampling.
 
     Draw i of resample b takes the row whose rank is ``md5(seed:b:i) mod n``, so any engine
-    gives the same interval.  The n x resamples draws are made in parallel and aggregated
-    before they meet; for large binary data use :func:`binary_ci`.
+    gives the same interval.  The n x resamples draws look their values up where they are
+    made, and only a sum per resample is shuffled; values too many to broadcast are joined
+    to the shuffled draws.  For large binary data use :func:`binary_ci`.
     """
     if not 0 < confidence < 1:
         raise ValueError("confidence must lie between 0 and 1")
     if resamples <= 0:
         raise ValueError("resamples must be positive")
-    ranked = row_numbers(values.select(key, F.col(value).cast("double").alias("v")), key, "r").select("r", "v")
-    total = values.agg(F.count("*").alias("n"))
-    spark = values.sparkSession
-    runs = spark.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(total)).where("n > 0")
-    draws = runs.select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    spot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10)
-    counted = draws.withColumn("r", spot.cast("long") % F.col("n")).groupBy("b", "r").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    means = counted.join(ranked, "r").groupBy("b").agg((F.sum(F.col("v") * F.col("c")) / F.first("n")).alias("m"))
+    ranked = cut(row_numbers(values.select(key, F.col(value).cast("double").alias("v")), key, "r").select("r", "v"))
+    n = ranked.count()
+    at = F.concat_ws(":", F.lit(str(seed)), F.expr(f"string(id div {max(n, 1)})"), (F.col("id") % max(n, 1)).cast("string"))
+    # never null for the optimizer, which would else digest each draw twice: to test for null and to join
+    spot = F.coalesce(F.conv(F.substring(F.md5(at), 1, 12), 16, 10).cast("long") % max(n, 1), F.lit(0).cast("long"))
+    draws = values.sparkSession.range(resamples * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), spot.alias("r"))
+    means = draws.join(small(ranked), "r").groupBy("b").agg((F.sum("v") / F.lit(n)).alias("m"))
     low, high = _bounds(resamples, confidence)
     sorted_ = means.agg(F.array_sort(F.collect_list("m")).alias("s"))
     pick = lambda i: F.coalesce(F.get("s", F.lit(i)), F.lit(0.0))
-    return total.crossJoin(sorted_).select("n", pick(low).alias("low"), pick(high).alias("high"))
+    return sorted_.select(F.lit(n).cast("long").alias("n"), pick(low).alias("low"), pick(high).alias("high"))
 
 
 def parity_ci(

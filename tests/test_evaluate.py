@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,20 @@ def test_bootstrap(spark):
             bad()
 
 
+def test_bootstrap_draws_stay_where_they_are_made(spark, capsys):
+    values = [float(i * i % 7) - 2 for i in range(23)]
+    df = spark.createDataFrame([(5 * i, v) for i, v in enumerate(values)], "k long, v double")
+    found = stats.bootstrap_ci(df, "v", "k", 40)
+    draw = lambda b, i: int(hashlib.md5(f"13:{b}:{i}".encode()).hexdigest()[:12], 16) % 23
+    means = sorted(sum(values[draw(b, i)] for i in range(23)) / 23 for b in range(40))
+    low, high = stats._bounds(40, 0.95)
+    assert tuple(found.first()) == (23, pytest.approx(means[low]), pytest.approx(means[high]))
+    found.explain()
+    plan = capsys.readouterr().out
+    # draws are summed by resample before any shuffle, and digested once
+    assert not re.search(r"hashpartitioning\([^)]*\br#", plan) and plan.count("md5(") == 1
+
+
 def test_judge(spark):
     rows = [("12", "13", "12", ""), ("99 5", "99", "7", "5"), ("x", "y", "7", ""), (None, "7", "7", None)]
     df = spark.createDataFrame(rows, "a string, b string, g string, c string")
