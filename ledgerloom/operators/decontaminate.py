@@ -3,33 +3,124 @@
 Overlap is the share of a candidate's distinct n-grams that a protected item has.  The
 n-grams of protected rows are first put into classes, all n-grams that the same items
 have being one: a page that many protected rows quote is one class, however many n-grams
-and rows it has.  Candidates meet the protected n-grams where they are read (a broadcast of
-checked size), and only counts per candidate and class are shuffled.
+and rows it has.  Candidates meet the protected n-grams once (where they are read, if those
+are few), and only counts per candidate and class go on.
 
-Only overlaps of at least the threshold matter, so an item has to be in one of a
-candidate's rarer classes: the most frequent ones, together short of the threshold, find
-no items.  That keeps standard wording from pairing everything with everything.  Pairs
-that are found are then counted exactly.
+Items are then counted per candidate where its classes are, with the items of the classes
+as plain arrays.  These pass in blocks of items of a fixed size, so that neither the driver
+nor a task holds more than a block, however many items there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.text import let, ngram_hashes, tokens
-from ledgerloom.session import cut, small, spread
+from ledgerloom.session import cut, measured, small, spread
+
+#: Bytes of protected n-grams up to which they are broadcast, and of a block of (class, item).
+SIDE_BYTES, BLOCK_BYTES = 16 << 20, 64 << 20
+#: Items of a candidate's classes that are added up at once; beyond, frequent classes are searched for the items of the others.
+GATHER = 50_000
 
 
 def protected_classes(protected: DataFrame, item: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """(grams, members): (g, cls, f) of each n-gram and (cls, item) of each class; ``f`` is the number of its items."""
+    """(grams, members): (g, cls) of each n-gram and (cls, item) of each class."""
     grams = ngram_hashes(tokens(F.col(text)), n)
-    p = cut(spread(protected.select(F.col(item).alias("item"), F.col(text))).select("item", F.explode(grams).alias("g")).distinct())
+    p = spread(protected.select(F.col(item).alias("item"), F.col(text))).select("item", F.explode(grams).alias("g"))
+    same = Window.partitionBy("g")
     named = F.xxhash64(F.col("item").cast("string"))
-    cls = F.xxhash64(F.count("*"), F.bit_xor(named), F.bit_xor(F.xxhash64(F.lit(1), F.col("item").cast("string"))))
-    known = cut(p.groupBy("g").agg(cls.alias("cls"), F.count("*").alias("f")))
-    members = known.groupBy("cls").agg(F.min("g").alias("g")).join(p, "g").select("cls", "item")
-    return known, cut(members)
+    cls = F.xxhash64(F.count("*").over(same), F.bit_xor(named).over(same), F.bit_xor(F.xxhash64(F.lit(1), F.col("item").cast("string"))).over(same))
+    # one shuffle, by n-gram, serves to merge equal items and to put n-grams into classes
+    p = cut(p.repartition("g").distinct().select("g", "item", cls.alias("cls")))
+    return p.groupBy("g").agg(F.min("cls").alias("cls")), cut(p.select("cls", "item").distinct())
+
+
+class Block:
+    """The items of the classes, as arrays, of some items."""
+
+    def __init__(self, members: pa.Table):
+        cls, item = members["cls"].to_numpy(), members["item"].combine_chunks().dictionary_encode()
+        if isinstance(item, pa.ChunkedArray):
+            item = item.combine_chunks()
+        self.names, codes = item.dictionary, item.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((codes, cls))
+        self.items = codes[order]
+        self.cls, self.start, self.size = np.unique(cls[order], return_index=True, return_counts=True)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The items of several classes, one after the other."""
+        size = self.size[at]
+        return self.items[np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def _summed(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items of the classes and the sums of ``n`` over the classes that have them."""
+        items, weights = self._gather(at), np.repeat(n, self.size[at])
+        if len(items) * 8 < len(self.names):
+            items, inverse = np.unique(items, return_inverse=True)
+            return items, np.bincount(inverse, weights)
+        sums = np.bincount(items, weights)
+        return (found := np.flatnonzero(sums)), sums[found]
+
+    def shared(self, at: np.ndarray, n: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Items that share at least ``need`` n-grams with a candidate that has ``n`` of each of the classes ``at``."""
+        order = np.argsort(self.size[at], kind="stable")
+        at, n = at[order], n[order]
+        rest = np.cumsum(n[::-1])[::-1]
+        # the most frequent classes, together short of the need, find no items
+        head = int((rest >= need).sum())
+        found, cost = self.size[at[:head]].sum(), self.size[at].sum()
+        if cost <= 4 * found + GATHER:
+            head = len(at)
+        items, sums = self._summed(at[:head], n[:head])
+        for k in range(head, len(at)):
+            keep = sums + rest[k] >= need
+            items, sums = items[keep], sums[keep]
+            own = self.items[self.start[at[k]] : self.start[at[k]] + self.size[at[k]]]
+            place = np.searchsorted(own, items)
+            sums = sums + n[k] * (own[np.minimum(place, len(own) - 1)] == items)
+        keep = sums >= need
+        return items[keep], sums[keep]
+
+
+def _pairs(by_key: DataFrame, members: DataFrame, out: T.StructType) -> DataFrame:
+    """Pairs (key, size, item, shared) that reach ``need`` within one block of ``members``."""
+    told = by_key.sparkSession.sparkContext.broadcast(members.select("cls", "item").toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            block = block or Block(told.value)
+            if not len(block.cls):
+                return
+            met = batch["met"].flatten()
+            cls, n = met.field("cls").to_numpy(), met.field("n").to_numpy()
+            at = np.minimum(np.searchsorted(block.cls, cls), len(block.cls) - 1)
+            known = block.cls[at] == cls
+            ends = np.cumsum(batch["met"].value_lengths().to_numpy(zero_copy_only=False))
+            rows, items, sums, begin = [], [], [], 0
+            for row, (end, need) in enumerate(zip(ends, batch["need"].to_numpy())):
+                own = known[begin:end]
+                a, c = at[begin:end][own], n[begin:end][own]
+                begin = end
+                if c.sum() >= need:
+                    i, s = block.shared(a, c, need)
+                    rows.append(np.full(len(i), row))
+                    items.append(i)
+                    sums.append(s)
+            if rows:
+                where = pa.array(np.concatenate(rows))
+                columns = [batch["key"].take(where), batch["size"].take(where), block.names.take(pa.array(np.concatenate(items))), pa.array(np.concatenate(sums).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    return by_key.mapInArrow(run, out)
 
 
 def overlaps(
@@ -52,23 +143,25 @@ def overlaps(
     # the size goes with each n-gram, so that the n-grams are made once
     sized = let(ngram_hashes(tokens(F.col("_text")), n), lambda a: F.transform(a, lambda g: F.struct(F.size(a).alias("size"), g.alias("g"))))
     probe = rows.select("key", F.inline(sized))
-    hits = probe.join(small(known), "g").groupBy("key", "size", "cls", "f").agg(F.count("*").alias("n"))
-    members = small(members)
+    hits = probe.join(small(known, size=SIDE_BYTES), "g").select("key", "size", "cls")
     if threshold > 0:
-        need = F.ceil(F.lit(float(threshold)) * F.col("size") - F.lit(1e-9))
-        by_key = hits.groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("f", "cls", "n"))).alias("met"))
-        total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x["n"])
-        by_key = cut(by_key.where(total(F.col("met")) >= need))
-        # classes are in order of frequency: one finds items if it and the more frequent ones can reach the need
-        upto = F.filter("met", lambda x, i: total(F.slice("met", i + 1, F.size("met"))) >= need)
-        found = by_key.select("key", F.explode(F.transform(upto, lambda x: x["cls"])).alias("cls"))
-        pairs = found.join(members, "cls").select("key", "item").distinct()
-        shared = by_key.select("key", "size", F.explode("met").alias("m")).select("key", "size", "m.cls", "m.n")
-        out = pairs.join(shared, "key").join(members, ["cls", "item"])
+        need = F.greatest(F.ceil(F.lit(float(threshold)) * F.col("size") - F.lit(1e-9)), F.lit(1).cast("long"))
+        hits = hits.repartition("key").groupBy("key", "size", "cls").agg(F.count("*").alias("n"))
+        by_key = hits.groupBy("key", "size").agg(F.collect_list(F.struct("cls", "n")).alias("met"), F.sum("n").alias("total"))
+        by_key = cut(by_key.withColumn("need", need).where("total >= need").drop("total"))
+        members = members.where("item is not null")
+        blocks = max(1, ceil(measured(members)[1] / BLOCK_BYTES))
+        kinds = {f.name: f.dataType for f in [*by_key.schema, *members.schema]} | {"shared": T.IntegerType()}
+        form = T.StructType([T.StructField(c, kinds[c]) for c in ("key", "size", "item", "shared")])
+        part = F.pmod(F.xxhash64("item"), F.lit(blocks))
+        out = None
+        for b in range(blocks):
+            more = _pairs(by_key, members.where(part == b), form)
+            out = more if out is None else out.union(more)
     else:
-        out = hits.join(members, "cls")
-    out = out.groupBy("key", "item").agg(F.sum("n").cast("int").alias("shared"), F.first("size").alias("size"))
-    out = out.withColumn("overlap", F.col("shared") / F.col("size"))
+        hits = hits.groupBy("key", "size", "cls").agg(F.count("*").alias("n"))
+        out = hits.join(small(members, size=SIDE_BYTES), "cls").groupBy("key", "item").agg(F.sum("n").cast("int").alias("shared"), F.first("size").alias("size"))
+    out = out.select("key", "item", "shared", "size", (F.col("shared") / F.col("size")).alias("overlap"))
     return out.where(F.col("overlap") >= threshold)
 
 

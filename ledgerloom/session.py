@@ -72,6 +72,12 @@ def _bytes(c: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and their rough size in memory."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(32)).cast("long")
+    return tuple(df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first())
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else without (a shuffled join).
 
@@ -79,8 +85,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     """
     if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRDD":
         df = cut(df)
-    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(32)).cast("long")
-    n, total = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    n, total = measured(df)
     return F.broadcast(df) if n <= rows and total <= size else df
 
 

@@ -1,8 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import session
 from ledgerloom.operators import decontaminate as dec
 
 
@@ -47,6 +51,42 @@ def test_against_brute_force(spark):
         assert got == want, threshold
 
 
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dec, "BLOCK_BYTES", 500)
+    for threshold in (0.5, 0.05):
+        got, want = run(spark, threshold)
+        assert got == want, threshold
+
+
+@pytest.mark.parametrize("gather", (0, 50_000))
+def test_items_of_classes(monkeypatch, gather):
+    monkeypatch.setattr(dec, "GATHER", gather)
+    rng = random.Random(5)
+    items = {c: sorted(rng.sample(range(400), size)) for c, size in enumerate([1, 2, 3, 5, 8, 300, 390])}
+    block = dec.Block(pa.table([pa.array([c * 7 for c in items for _ in items[c]]), pa.array([i for c in items for i in items[c]])], names=["cls", "item"]))
+    for _ in range(50):
+        classes = rng.sample(range(7), rng.randint(1, 7))
+        n = [rng.randint(1, 9) for _ in classes]
+        need = rng.randint(1, sum(n))
+        sums = {}
+        for c, m in zip(classes, n):
+            for i in items[c]:
+                sums[i] = sums.get(i, 0) + m
+        got = block.shared(np.array(classes), np.array(n), need)
+        found = dict(zip(block.names.take(pa.array(got[0])).to_pylist(), got[1].astype(int).tolist()))
+        assert found == {i: s for i, s in sums.items() if s >= need}
+
+
+def test_only_few_protected_ngrams_are_broadcast(spark, monkeypatch):
+    told, broadcast = [], F.broadcast
+    monkeypatch.setattr(session.F, "broadcast", lambda df: (told.append(df.count()), broadcast(df))[1])
+    words = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("w"), (F.col("id") * 20 + i).cast("string")))
+    p = spark.range(25_000).select("id", F.array_join(words, " ").alias("t"))
+    r = dec.decontaminate(p.where("id % 5000 = 1"), p, "id", "t", "id", "t", 3, 0.5).collect()
+    assert {(x.id, x.matched_item, x.max_overlap) for x in r} == {(i, str(i), 1.0) for i in range(1, 25_000, 5000)}
+    assert all(n < 350_000 for n in told)  # 450,000 n-grams in all
+
+
 def test_identical_texts(spark):
     c = spark.createDataFrame([("a", "one two three four five six")], "id string, t string")
     p = spark.createDataFrame([("p", "One, two three. Four five SIX!")], "id string, t string")
