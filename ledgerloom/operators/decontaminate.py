@@ -91,7 +91,7 @@ class Block:
 
 
 def _pairs(by_key: DataFrame, members: DataFrame, out: T.StructType) -> DataFrame:
-    """Pairs (key, size, item, shared) that reach ``need`` within one block of ``members``."""
+    """Pairs (key, size, item, shared) that reach ``need`` within one block of ``members``, counted now so that the block can go."""
     told = by_key.sparkSession.sparkContext.broadcast(members.select("cls", "item").toArrow())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,9 @@ def _pairs(by_key: DataFrame, members: DataFrame, out: T.StructType) -> DataFram
                 columns = [batch["key"].take(where), batch["size"].take(where), block.names.take(pa.array(np.concatenate(items))), pa.array(np.concatenate(sums).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return by_key.mapInArrow(run, out)
+    pairs = cut(by_key.mapInArrow(run, out))
+    told.destroy()
+    return pairs
 
 
 def overlaps(
